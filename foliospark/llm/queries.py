@@ -1,0 +1,22 @@
+"""The ``pN_`` queries. Each reads its whole tables from ``sf_dir``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from foliospark.session import table
+
+from . import leakage
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")).select("item_id", "doc_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(leakage.leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")))
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
+
+ORACLES: dict[str, str] = {}
