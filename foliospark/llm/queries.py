@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.session import table
 
-from . import leakage
+from . import encoding, leakage
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.wrongly_decoded(table(spark, sf_dir, "ocr_results")).select(F.col("result_id"))
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.wrongly_decoded(table(spark, sf_dir, "ocr_results"), with_text=True)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
