@@ -7,7 +7,48 @@ from pyspark.sql import functions as F
 
 from foliospark.session import table
 
-from . import encoding, leakage
+from . import boilerplate, encoding, leakage, quantiles, repetition, splitting, textstats
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetitive(repetition.repetition(table(spark, sf_dir, "ocr_results"))).select("result_id")
+
+
+def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated share of every page beside the recorded ratio."""
+    recorded = table(spark, sf_dir, "native_text_quality").groupBy("result_id").agg(F.max("duplicate_ratio").alias("recorded_duplicate_ratio"))
+    return repetition.repetition(table(spark, sf_dir, "ocr_results")).join(recorded, "result_id", "left")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textstats.page_kinds(table(spark, sf_dir, "ocr_results")).where("kind <> 'prose'").select("result_id", "kind")
+
+
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, scores and kind of every page beside the recorded ratios."""
+    recorded = table(spark, sf_dir, "native_text_quality").groupBy("result_id").agg(
+        *[F.max(c).alias(f"recorded_{c}") for c in ("printable_ratio", "alphanumeric_ratio", "whitespace_sanity")]
+    )
+    return textstats.page_kinds(table(spark, sf_dir, "ocr_results")).join(recorded, "result_id", "left")
+
+
+def _split(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    return splitting.split_all(
+        table(spark, sf_dir, "split_limits"),
+        {
+            "ocr_results": (table(spark, sf_dir, "ocr_results"), "id", "extracted_text"),
+            "book_paragraphs": (table(spark, sf_dir, "book_paragraphs"), "para_id", "text"),
+        },
+        with_text,
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir, False).where("piece_no = 1").select("item_kind", "item_id")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir, True)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +59,36 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.wrongly_decoded(table(spark, sf_dir, "ocr_results"), with_text=True)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.frequent_lines(table(spark, sf_dir, "ocr_results")).select(F.col("source").alias("job_id"), "line")
+
+
+def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.sequences(table(spark, sf_dir, "ocr_results"))
+
+
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "ocr_results")
+    return boilerplate.cleaned(pages, boilerplate.frequent_lines(pages))
+
+
+def p7_job_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = quantiles.summaries(table(spark, sf_dir, "ocr_results"), ["job_id"], "processing_time")
+    return quantiles.percentiles(s, ["job_id"])
+
+
+def p7_job_percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from summaries of separate days."""
+    pages = table(spark, sf_dir, "ocr_results").withColumn("day", F.to_date("created_at"))
+    days = quantiles.summaries(pages, ["job_id", "day"], "processing_time")
+    return quantiles.percentiles(quantiles.combine(days, ["job_id"]), ["job_id"])
+
+
+def p7_metric_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = quantiles.summaries(table(spark, sf_dir, "ocr_metrics"), ["job_id"], "avg_page_time")
+    return quantiles.percentiles(s, ["job_id"])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")).select("item_id", "doc_id")
 
@@ -28,4 +99,35 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
 
-ORACLES: dict[str, str] = {}
+
+def _rank_sql(name: str, value: str) -> str:
+    pick = ", ".join(f"max(v) FILTER (WHERE r = greatest(1, CAST(ceil({q} * n) AS BIGINT))) AS p{round(q * 100):d}" for q in (0.5, 0.9, 0.99))
+    return f"""
+        WITH m AS (SELECT job_id, {value} AS v FROM {name} WHERE {value} IS NOT NULL AND NOT isnan({value}) AND {value} >= 0),
+        k AS (SELECT job_id, v, row_number() OVER (PARTITION BY job_id ORDER BY v) AS r, count(*) OVER (PARTITION BY job_id) AS n FROM m)
+        SELECT job_id, max(n) AS n, CAST(0 AS BIGINT) AS rank_error, {pick} FROM k GROUP BY job_id"""
+
+
+ORACLES: dict[str, str] = {
+    "p3_found": """
+        SELECT 'ocr_results' AS item_kind, id AS item_id FROM ocr_results
+        WHERE length(extracted_text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'ocr_results')
+        UNION ALL
+        SELECT 'book_paragraphs', para_id FROM book_paragraphs
+        WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'book_paragraphs')""",
+    "p6_found": """
+        WITH p AS (SELECT job_id, page_number, extracted_text AS t FROM ocr_results
+                   WHERE job_id IS NOT NULL AND page_number IS NOT NULL AND regexp_matches(extracted_text, '\\S')),
+        l AS (SELECT DISTINCT job_id, page_number,
+                trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '#', 'g'), '[^a-zà-öø-ÿœ#]+', ' ', 'g')) AS line
+              FROM (SELECT job_id, page_number, unnest(string_split(t, chr(10))) AS x FROM p)),
+        n AS (SELECT job_id, count(DISTINCT page_number) AS pages FROM p GROUP BY 1)
+        SELECT job_id, line FROM (
+          SELECT l.job_id, line, count(*) AS c, any_value(n.pages) AS pages FROM l JOIN n ON l.job_id = n.job_id
+          WHERE regexp_matches(line, '[a-zà-öø-ÿœ]') GROUP BY 1, 2)
+        WHERE c >= 8 AND c >= 0.2 * pages""",
+    # within the permitted error a group of so few values keeps every rank
+    "p7_job_percentiles": _rank_sql("ocr_results", "processing_time"),
+    "p7_job_percentiles_by_day": _rank_sql("ocr_results", "processing_time"),
+    "p7_metric_percentiles": _rank_sql("ocr_metrics", "avg_page_time"),
+}
