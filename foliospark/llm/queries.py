@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import table
 
-from . import boilerplate, encoding, leakage, quantiles, repetition, splitting, textstats
+from . import boilerplate, encoding, leakage, mixing, quantiles, repetition, splitting, subjects, textstats
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,29 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(leakage.leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")))
 
 
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(p9_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the labels name subjects; only those of the table of subjects count
+    labels, known = table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects").select("subject")
+    labels = labels.join(F.broadcast(known), "subject", "left_semi").unionByName(labels.where("subject = 'none'"))
+    return subjects.assign(table(spark, sf_dir, "documents"), labels)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.makeup(table(spark, sf_dir, "documents"), _assigned(spark, sf_dir))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
 
 
