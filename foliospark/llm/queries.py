@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import table
 
-from . import boilerplate, encoding, leakage, mixing, quantiles, repetition, splitting, subjects, textstats
+from . import boilerplate, encoding, leakage, mixing, quantiles, repetition, scannoise, splitting, subjects, textstats
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,18 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir, True)
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, x) for x in ("ocr_results", "page_results", "ocr_jobs", "book_paragraphs", "gold")]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scannoise.noise(*_scans(spark, sf_dir)).select("table_name", "job_id", "page", "kind")
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scannoise.repair(*_scans(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.wrongly_decoded(table(spark, sf_dir, "ocr_results")).select(F.col("result_id"))
 
