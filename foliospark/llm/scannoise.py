@@ -215,7 +215,7 @@ class Editor:
                         if two in self.known and (base[i : i + 2], o) in self.pairs:
                             return two
         # not a word known to be right: only a clear sign counts
-        return edited if edited != w and (margin >= CLEAR or _impossible(w)) else w
+        return edited if edited != w and (_impossible(w) or (margin >= CLEAR and not name)) else w
 
     def misread(self, core: str) -> bool:
         low = core.lower()
