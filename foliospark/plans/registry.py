@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import ledger_queries, text_queries  # noqa: E402, F401
+from . import ledger_queries, page_queries, stream_queries, text_queries  # noqa: E402, F401
