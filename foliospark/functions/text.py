@@ -23,7 +23,8 @@ def quality(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col("_t")
     n = F.col("_n")
     base = df.withColumn("_t", strip(F.coalesce(F.col(text), F.lit("")))).withColumn("_n", F.length("_t"))
-    lines = F.filter(F.transform(F.split(t, "\n", -1), strip), lambda x: x != "")
+    # the text is stripped, so parting it at line feeds with the space around them strips every line
+    lines = F.filter(F.split(t, rf"[{SPACE}]*\n[{SPACE}]*", -1), lambda x: x != "")
     per = lambda hits: F.when(n == 0, F.lit(0.0)).otherwise(hits / n)
     base = base.select(
         *df.columns,

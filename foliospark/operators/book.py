@@ -22,7 +22,7 @@ def strip_headers(blocks: DataFrame) -> DataFrame:
     that are marked as such. Documents of one page stay whole. Repeats are counted by an
     aggregate and joined back, so a document of any size spreads."""
     zone = F.when(F.col("y") <= F.col("height") * MARGIN, "top").when(F.col("y") >= F.col("height") * (1 - MARGIN), "bottom")
-    b = blocks.withColumn("zone", zone).withColumn("clean", strip(F.regexp_replace(strip(F.col("text")), "[0-9]+", "")))
+    b = blocks.withColumn("zone", zone).withColumn("clean", F.when(F.col("zone").isNotNull(), strip(F.regexp_replace("text", "[0-9]+", ""))))
     often = b.where("zone is not null and clean <> ''").groupBy("doc", "zone", "clean").agg(F.count("*").alias("times")).where("times >= 2")
     pages = blocks.groupBy("doc", "page").agg(F.lit(1)).groupBy("doc").agg(F.count("*").alias("pages"))
     j = b.join(often, ["doc", "zone", "clean"], "left").join(pages, "doc", "left")

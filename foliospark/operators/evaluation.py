@@ -152,12 +152,18 @@ def table_similarity(gold: str | None, got: str | None, structure: bool = False)
         if x == y:
             return 0.0
         own = 1.0 if x[0] != y[0] else 0.5 if x[1] != y[1] else text_cost(x[2], y[2])
+        # equal children at either end align with each other: no other alignment is cheaper
+        xs, ys = x[3], y[3]
+        while xs and ys and xs[0] == ys[0]:
+            xs, ys = xs[1:], ys[1:]
+        while xs and ys and xs[-1] == ys[-1]:
+            xs, ys = xs[:-1], ys[:-1]
         best = [0.0]
-        for k in y[3]:
+        for k in ys:
             best.append(best[-1] + k[4])
-        for p in x[3]:
+        for p in xs:
             row = [best[0] + p[4]]
-            for j, q in enumerate(y[3]):
+            for j, q in enumerate(ys):
                 row.append(min(best[j] + distance(p, q), best[j + 1] + p[4], row[j] + q[4]))
             best = row
         return own + best[-1]

@@ -149,7 +149,7 @@ _LINES = f"""SELECT id, job_id AS doc, page_number AS page, x AS text, k AS seq,
 def _lines(spark, sf_dir):
     """Non-blank lines of the pages as blocks, spread evenly over a height of 1000."""
     r = table(spark, sf_dir, "ocr_results").where("job_id is not null and page_number is not null and extracted_text is not null")
-    r = r.select("id", F.col("job_id").alias("doc"), F.col("page_number").alias("page"), F.filter(F.split("extracted_text", "\n", -1), lambda x: chars.strip(x) != "").alias("l"))
+    r = r.select("id", F.col("job_id").alias("doc"), F.col("page_number").alias("page"), F.filter(F.split("extracted_text", "\n", -1), lambda x: x.rlike(f"[^{_S}]")).alias("l"))
     r = r.select("id", "doc", "page", F.size("l").alias("n"), F.posexplode("l").alias("p", "text"))
     return r.select("id", "doc", "page", "text", (F.col("p") + 1).alias("seq"), ((F.col("p") + 0.5) * 1000.0 / F.col("n")).alias("y"), F.lit(1000.0).alias("height"), F.lit("text").alias("kind"))
 
