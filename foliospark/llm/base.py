@@ -1,40 +1,18 @@
-"""Shared plumbing of the training-data operators: Arrow batch maps, folding, tokens."""
+"""Shared plumbing of the training-data operators: folding, words, column selection."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+
+from foliospark.arrow import map_batches  # noqa: F401 - the operators take it from here
 
 #: Characters that break a word in two at the end of a line (fixed values).
 BREAK_MARKS = "-­‐¬"
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]], schema: str) -> DataFrame:
-    """Arrow map without pandas: ``make()`` runs once per task and returns a function that
-    takes the columns of a batch as lists and returns the result rows as tuples."""
-    out = _parse_datatype_string(schema)
-    assert isinstance(out, StructType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(out)
-        fn = make()
-        for b in batches:
-            rows = fn(*[c.to_pylist() for c in b.columns])
-            cols = list(zip(*rows)) if rows else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow
-            )
-
-    return df.mapInArrow(run, out)
-
-
 _FOLDS = str.maketrans({"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "­": None})
 _BROKEN = re.compile(rf"(?<=[^\W\d_])[{BREAK_MARKS}][ \t]*\n\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[a-z0-9]+")

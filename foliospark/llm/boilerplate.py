@@ -93,7 +93,9 @@ def cleaned(df: DataFrame, frequent: DataFrame, id_col: str = "id", source: str
     per = frequent.groupBy("source").agg(F.collect_list("line").alias("_lines"))
     both = pages.join(per, "source", "left")
     lines = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_lines"), F.trim(form(x))))
+    # forms are made once for the whole text; a line and its form stand at the same place
+    placed = F.arrays_zip(lines.alias("line"), F.split(form(F.col("text")), "\n", -1).alias("form"))
+    kept = F.transform(F.filter(placed, lambda x: ~F.array_contains(F.col("_lines"), F.trim(x["form"]))), lambda x: x["line"])
     return both.select(
         "id",
         "source",
