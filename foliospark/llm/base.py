@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ BREAK_MARKS = "-­‐¬"
 
 _FOLDS = str.maketrans({"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "­": None})
 _BROKEN = re.compile(rf"(?<=[^\W\d_])[{BREAK_MARKS}][ \t]*\n\s*(?=[^\W\d_])")
+_ACCENT, _OTHER = re.compile("[\u0300-\u036f]+"), re.compile(r"[^\x00-\x7f]")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -23,22 +25,11 @@ def fold(text: str) -> str:
     with a following ``e`` fold to the plain letter, like the umlauts themselves."""
     t = _BROKEN.sub("", text).lower()
     if not t.isascii():
-        t = t.translate(_FOLDS)
-        t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() if t.isprintable() else _ascii(t)
+        # accents go; signs outside ASCII part words instead of gluing them together
+        t = _OTHER.sub(" ", _ACCENT.sub("", unicodedata.normalize("NFKD", t.translate(_FOLDS))))
     return t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
-def _ascii(t: str) -> str:
-    """As ascii, but signs outside it part words instead of gluing them together."""
-    out = []
-    for c in unicodedata.normalize("NFKD", t):
-        if c < "\x80":
-            out.append(c)
-        elif not unicodedata.combining(c):
-            out.append(" ")
-    return "".join(out)
-
-
 def fold_words(text: str) -> list[str]:
     return _WORD.findall(fold(text))
 

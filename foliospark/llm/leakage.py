@@ -34,6 +34,8 @@ MAX_GAP = 16
 MAX_LOST = 4
 #: A stretch counts where at least this part of its words is found in it.
 MIN_DENSITY = 0.8
+#: Of the words that a passage must have, the part that must be found as such.
+MIN_FOUND = 0.92
 #: Confirmed runs that a passage has for each of its words, at least, even if much misread.
 MIN_RUNS = 0.25
 
@@ -173,7 +175,7 @@ def _finder(shared, min_share: float):
                     if not near:
                         continue
                     length, got = stretch(own, words, near)
-                    if length >= min_share * len(own):
+                    if length >= min_share * len(own) and got >= MIN_FOUND * min_share * len(own):
                         rows.append((item, doc_id, len(own), length, got))
                 for item, own in short.items():
                     k = len(own)

@@ -107,7 +107,8 @@ def find_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
                 for p in parts:
                     starts.append(at)
                     at += len(p)
-                hits = {(bisect_right(starts, end) - 1, k) for end, k in automaton.iter("".join(parts))}
+                found = automaton.iter("".join(parts)) if terms else ()
+                hits = {(bisect_right(starts, end) - 1, k) for end, k in found}
                 rows.append((i, len(parts), [{"s": s, "t": t} for s, t in sorted(hits)]))
             return rows
 
@@ -166,7 +167,8 @@ def assign(docs: DataFrame, labels: DataFrame, none: str = "none") -> DataFrame:
     total = max(1, hits.count())
     seen = {r.t: r.n for r in hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["t"]))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     rarity = lambda k: min(1.0, math.log(total / (seen.get(k, 0) + 1) + 1) / math.log(1 / COMMON_TERM + 1))
-    weights = [{s: o * rarity(k) for s, o in learned[t].items()} for k, t in enumerate(terms)]
+    # a term that is everywhere weighs half of what a rare one does
+    weights = [{s: o * (1 + rarity(k)) / 2 for s, o in learned[t].items()} for k, t in enumerate(terms)]
     scored = shares(hits, weights)
     bounded = require(labels, "doc_id", "subject").join(
         F.broadcast(require(labels, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)), "doc_id", "left_semi"
