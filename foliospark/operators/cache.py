@@ -11,7 +11,7 @@ WHOLE, END = 10 * 1024 * 1024, 64 * 1024
 
 def content_hash(content: Column) -> Column:
     n = F.length(content)
-    ends = F.concat(F.substring(content, 1, END), n.cast("string").cast("binary"), F.right(content, F.lit(END)))
+    ends = F.concat(F.substring(content, 1, END), n.cast("string").cast("binary"), F.substring(content, -END, END))
     return F.sha2(F.when(n <= WHOLE, content).otherwise(ends), 256)
 
 

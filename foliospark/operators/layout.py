@@ -42,7 +42,8 @@ def facing_pages(spans: DataFrame) -> DataFrame:
     page = Window.partitionBy("page_id")
     mid = (F.col("xmin") < GUTTER_TO * F.col("width")) & (F.col("xmax") > GUTTER_FROM * F.col("width"))
     order = Window.partitionBy("page_id", "_mid").orderBy("xmin", "ord")
-    s = spans.withColumn("_mid", mid)
+    # by page once, which serves every window of the chain
+    s = spans.repartition("page_id").withColumn("_mid", mid)
     s = s.withColumn("_next", F.lead("xmin").over(order)).withColumn("_rn", F.row_number().over(order))
     gap = F.when(F.col("_mid") & (F.col("_next") > F.col("xmax")), F.struct((F.col("_next") - F.col("xmax")).alias("gap"), (-F.col("_rn")).alias("first"), ((F.col("_next") + F.col("xmax")) / 2).alias("at")))
     best = F.max(gap).over(page)

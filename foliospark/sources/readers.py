@@ -27,14 +27,15 @@ IMAGES = ("png", "jpg", "jpeg", "bmp", "tiff", "tif")
 
 def ingest(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``path, suffix, length, sha256, reject``: null in ``reject`` where a file is taken, else
-    the first rule that it breaks (suffix, size, empty, content)."""
+    the first rule that it breaks (suffix, size, content). Files without bytes have no row: the
+    listing of the source leaves them out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = F.create_map(*[x for k, v in MAGIC.items() for x in (F.lit(k), F.lit(v))])
     head = F.hex(F.substring("content", 1, 16))
     fits = F.exists(F.split(known[suffix], r"\|"), lambda m: F.startswith(head, m))
     reject = (
-        F.when(known[suffix].isNull(), "suffix").when(F.col("length") > max_bytes, "size").when(F.col("length") == 0, "empty").when(~fits, "content")
+        F.when(known[suffix].isNull(), "suffix").when(F.col("length") > max_bytes, "size").when(~fits, "content")
     )
     return files.select("path", suffix.alias("suffix"), "length", F.when(F.col("length") <= max_bytes, content_hash(F.col("content"))).alias("sha256"), reject.alias("reject"))
 
