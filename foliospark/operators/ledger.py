@@ -163,9 +163,9 @@ def running_total(df: DataFrame, bucket: Column, order: list[str], value: str) -
 
 def pruned(cache: DataFrame, budget: Column, bucket: Column, order: list[str], size: str) -> DataFrame:
     """Oldest entries to delete until the rest fits: those before which it doesn't yet."""
-    total = cache.agg(F.sum(size).alias("_total"))
-    run = running_total(cache, bucket, order, size).crossJoin(F.broadcast(total))  # a single row
-    return run.where(F.col("_total") - (F.col("running") - F.col(size)) > budget).drop("_total")
+    total = cache.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    run = running_total(cache, bucket, order, size)
+    return run.where(F.lit(total) - (F.col("running") - F.col(size)) > budget)
 
 
 def batches(df: DataFrame, by: str, order: list[str], size: int) -> DataFrame:

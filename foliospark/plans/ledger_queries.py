@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.operators import ledger
 from foliospark.session import table
@@ -160,8 +161,8 @@ def event_counts(spark, sf_dir):
     (SELECT worker_id, max(started_at) AS last_seen FROM ocr_jobs WHERE worker_id IS NOT NULL AND started_at IS NOT NULL GROUP BY 1)""")
 def worker_liveness(spark, sf_dir):
     seen = table(spark, sf_dir, "ocr_jobs").where("worker_id is not null and started_at is not null").groupBy("worker_id").agg(F.max("started_at").alias("last_seen"))
-    newest = table(spark, sf_dir, "ocr_jobs").agg(F.max("started_at").alias("newest"))
-    return seen.crossJoin(F.broadcast(newest)).select("worker_id", "last_seen", (F.col("last_seen") >= F.col("newest") - F.expr("interval 7 days")).alias("alive"))
+    newest = F.max("last_seen").over(Window.partitionBy())  # one row per worker
+    return seen.withColumn("newest", newest).select("worker_id", "last_seen", (F.col("last_seen") >= F.col("newest") - F.expr("interval 7 days")).alias("alive"))
 
 
 @query("""SELECT doc_id FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY created_at, doc_id) AS run, sum(n_chars) OVER () AS total FROM documents WHERE created_at IS NOT NULL AND n_chars IS NOT NULL)

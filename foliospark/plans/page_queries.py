@@ -101,8 +101,8 @@ _CELLS = """SELECT page_id, i * 4 + j AS cell, CAST(j * 400 AS DOUBLE) AS xmin,
 
 
 def _cells(spark, spans):
-    grid = spark.range(16).select((F.col("id") / 4).cast("int").alias("i"), (F.col("id") % 4).cast("int").alias("j"))
-    pages = spans.select("page_id").distinct().crossJoin(F.broadcast(grid))  # sixteen cells a page
+    pages = spans.select("page_id").distinct().select("page_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    pages = pages.selectExpr("page_id", "CAST(k DIV 4 AS INT) AS i", "k % 4 AS j")
     return pages.selectExpr("page_id", "i * 4 + j AS cell", "CAST(j * 400 AS DOUBLE) AS xmin", "CAST(i * 250 AS DOUBLE) AS ymin", "CAST(j * 400 + 400 AS DOUBLE) AS xmax", "CAST(i * 250 + 250 AS DOUBLE) AS ymax")
 
 

@@ -51,7 +51,7 @@ def image_pages(spark: SparkSession, path: str) -> DataFrame:
 def gold_texts(spark: SparkSession, path: str) -> DataFrame:
     """``file, label, para_no, text`` of known texts: ``[PAGE label]`` lines open a page, blank
     lines part paragraphs. Files are read whole, one row each."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.col("value"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
     parts = F.split("value", r"(?m)^\[PAGE\s+", -1)
     pages = files.select("file", F.posexplode(parts).alias("n", "part")).where("n > 0")
     pages = pages.select("file", F.trim(F.regexp_extract("part", r"^([^\]\n]*)\]", 1)).alias("label"), F.regexp_replace("part", r"^[^\]\n]*\]", "").alias("body"))
