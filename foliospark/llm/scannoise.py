@@ -42,11 +42,13 @@ MIN_KNOWN = 0.35
 HEAD_CHARS = 110
 
 EDGE = ".,;:!?…'’‘”“„«»()[]\"—–*/|│¿¡ "
-NUMBER = r"(?:\d{1,4}|[ivxlc]{1,7})"
+NUMBER = r"(?:\d{1,4}|(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
 #: Forms of a printed page number, alone or in the line of a running head (fixed values).
 NUMBER_LINE = re.compile(rf"^\s*(?:[-—–\[(]\s*)?(?:(?:page|p\.|seite|s\.|página|pág\.|pagina|folio|f\.)\s*)?{NUMBER}\s*(?:[-—–\])]|\.)?\s*$", re.I)
 NUMBER_BEFORE = re.compile(rf"^\s*[\[(—–-]?\s*(?:page |seite |página |p\. )?{NUMBER}\s*[\])—–.-]?(?:\s{{2,}}|\t)(?=\S)", re.I)
 NUMBER_AFTER = re.compile(rf"(?<=\S)(?:\s{{2,}}|\t)[\[(—–-]?\s*(?:page |seite |página |p\. )?{NUMBER}\s*[\])—–.-]?\s*$", re.I)
+YEAR_END = re.compile(r"^\s*\d{4}\.\s*$")
+SENTENCE_END = ".!?:;”\"…)|│"
 PREFIX = re.compile(r"^\s*[^\W\d_]{2,9}\.?\s+(?:[ivxlc]+|\d+)\s*[.:]\s+", re.I)
 BREAK = re.compile(rf"([^\W\d_]+)([{BREAK_MARKS}])[ \t]*\n\s*([^\W\d_]+)")
 LETTERS = re.compile(r"[^\W\d_]")
@@ -285,17 +287,37 @@ def line_features(line: str, place: str, repeats: int, title: float, chapter: fl
     return [*f, "bias"]
 
 
+def _number_line(lines: list[str], at: list[int], k: int) -> bool:
+    """Whether the ``k``-th written line is a page number of its own. The last word of
+    unfinished prose, a year with its full stop, is none."""
+    line = lines[at[k]]
+    if not NUMBER_LINE.match(line):
+        return False
+    if k and YEAR_END.match(line) and at[k] - at[k - 1] == 1:
+        before = lines[at[k - 1]].strip()
+        return before[-1] in SENTENCE_END or " · " in before
+    return True
+
+
 def _ends(text: str) -> list[tuple[str, str, bool]]:
-    """(place, line, whether a blank line follows or goes before) of the first and last line."""
+    """(place, line, whether a blank line parts it from the text) of the first and last lines:
+    a page number of its own, and the line that is first or last apart from it."""
     lines = text.split("\n")
     at = [i for i, x in enumerate(lines) if x.strip()]
     if not at:
         return []
-    a, z = at[0], at[-1]
-    out = [("first", lines[a], a + 1 < len(lines) and not lines[a + 1].strip() and z > a)]
-    if z > a:
-        out.append(("last", lines[z], not lines[z - 1].strip()))
-    return [x for x in out if len(x[1].strip()) <= HEAD_CHARS]
+    n, out = len(at), []
+    a = 1 if _number_line(lines, at, 0) else 0
+    z = n - 2 if n > 1 and _number_line(lines, at, n - 1) else n - 1
+    if a:
+        out.append(("first", lines[at[0]], True))
+    if z == n - 2:
+        out.append(("last", lines[at[-1]], True))
+    if a <= z:
+        out.append(("first", lines[at[a]], a < z and at[a + 1] - at[a] > 1))
+    if a < z:
+        out.append(("last", lines[at[z]], at[z] - at[z - 1] > 1))
+    return [x for x in out if len(x[1].strip()) <= HEAD_CHARS and not (YEAR_END.match(x[1]) and not x[2])]
 
 
 def _alike(plain: str, title: str) -> float:
@@ -516,7 +538,7 @@ def _repaired(text: str, ed: Editor, drop: set[str]) -> list[str]:
     """Continuous paragraphs: without the lines in ``drop``, joined, words mended."""
     lines = text.split("\n")
     at = [i for i, x in enumerate(lines) if x.strip()]
-    for i in {at[0], at[-1]} if at else ():
+    for i in {*at[:2], *at[-2:]}:
         if lines[i] in drop:
             lines[i] = ""
     body = "\n".join(lines)
