@@ -35,5 +35,11 @@ def fold_words(text: str) -> list[str]:
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else (and however named) the table carries."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """Only the named columns, whatever else (and however named) the table carries: of columns
+    that differ in case only, the one that is named exactly, else the first."""
+    have = df.columns
+    if len({c.lower() for c in have}) == len(have):
+        return df.select(*[F.col(f"`{n}`") for n in names])
+    plain = df.toDF(*[f"c{i}" for i in range(len(have))])
+    place = lambda n: have.index(n) if n in have else [c.lower() for c in have].index(n.lower())
+    return plain.select(*[F.col(f"c{place(n)}").alias(n) for n in names])

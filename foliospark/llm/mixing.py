@@ -72,7 +72,7 @@ def sainte_lague(weights: dict, blocks: int, caps: dict) -> dict:
 def select(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """``doc_id, source, tokens, copies`` of the chosen documents."""
     spark = docs.sparkSession
-    goal = {r.source.strip().lower(): (float(r.target_share), int(r.max_repeats)) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").collect()}
+    goal = {r.source.strip().lower(): (float(r.target_share), int(r.max_repeats)) for r in require(targets, "source", "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").collect()}
     sized = count_tokens(docs, tokenizer).where(F.col("tokens") > 0)
     sized = cut(sized.where(F.col("source").isin(*goal)) if goal else sized.limit(0))
     has = {r.source: r.t for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
@@ -109,7 +109,7 @@ def select(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None,
 
 def report(selection: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: tokens, documents, most copies and the share reached."""
-    plain = targets.select(F.trim(F.lower("source")).alias("source"), "target_share", "max_repeats")
+    plain = require(targets, "source", "target_share", "max_repeats").select(F.trim(F.lower("source")).alias("source"), "target_share", "max_repeats")
     got = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     both = plain.join(got, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
     whole = F.sum("tokens").over(Window.partitionBy())  # one row per source

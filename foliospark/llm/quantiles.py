@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
+from .base import require
+
 #: Permitted rank uncertainty as a share of the number of values.
 EPSILON = 0.001
 #: Partial merges of a group.
@@ -106,8 +108,9 @@ def _emit(keys, groups: dict, arrow, extra=()) -> pa.RecordBatch:
 
 def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSILON) -> DataFrame:
     """One summary per group of ``keys``: a table that can be stored and merged later."""
-    v = F.col(value).cast("double")
-    rows = df.select(*[F.col(f"`{k}`") for k in keys], v.alias("_value")).where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf")))
+    v = F.col(f"`{value}`").cast("double")
+    rows = require(df, *dict.fromkeys([*keys, value])).where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf")))
+    rows = rows.select(*[F.col(f"`{k}`") for k in keys], v.alias("_value"))
     schema = StructType([*_fields(rows, keys), StructField("_part", LongType())] + list(_parse_datatype_string(_REST)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -347,6 +347,7 @@ def head_candidates(pages: DataFrame) -> DataFrame:
 def with_job(heads: DataFrame, jobs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Adds the titles of the job and on how many of its pages a line stands at that place."""
     name = F.regexp_replace(F.regexp_replace(F.lower("filename"), r"^.*/|\.[a-z]+$", ""), r"[^\p{L}]+", " ")
+    jobs, paragraphs = require(jobs, "id", "filename"), require(paragraphs, "job_id", "chapter_title")
     title = jobs.where("id is not null").groupBy(F.col("id").alias("job_id")).agg(F.first(F.trim(name), True).alias("title"))
     plain = F.trim(F.regexp_replace(F.lower("chapter_title"), r"[^\p{L}]+", " "))
     chapters = paragraphs.where("chapter_title is not null and job_id is not null").groupBy("job_id", plain.alias("plain")).agg(F.lit(1.0).alias("chapter"))

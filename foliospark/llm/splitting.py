@@ -88,6 +88,7 @@ def split_all(limits: DataFrame, tables: dict[str, tuple[DataFrame, str, str]],
     """Pieces of every table named in ``limits`` (a row per kind of item: its size is the
     number of kinds). ``tables``: kind -> (table, id column, text column)."""
     out = None
+    limits = require(limits, "item_kind", "max_chars", "overlap_chars").where("max_chars is not null and overlap_chars is not null")
     for r in limits.where(F.col("item_kind").isin(*tables)).dropDuplicates(["item_kind"]).collect():
         df, id_col, text_col = tables[r.item_kind]
         part = pieces(df, id_col, text_col, r.max_chars, r.overlap_chars, with_text)

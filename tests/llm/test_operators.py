@@ -378,3 +378,30 @@ def test_subjects(spark):
     make = {r.subject: r.documents for r in subjects.makeup(docs, got).collect()}
     assert make["none"] == 34 and make["sea"] == 60
     assert subjects.assign(docs, lab.limit(0)).collect() == [] and subjects.assign(docs.limit(0), lab).collect() == []
+
+
+# ---- columns that clash ----
+
+
+def test_columns_that_differ_in_case_only(spark):
+    other = lambda df, *names: df.select("*", *[F.lit(None).cast("string").alias(n) for n in names])
+    res = other(spark.createDataFrame([(k, 1, k, PROSE * (1 + 3 * (k % 2))) for k in range(10)], "id bigint, job_id bigint, page_number int, extracted_text string"), "ID", "Job_Id", "Extracted_Text", "PAGE_NUMBER")
+    assert len(repetition.repetitive(repetition.repetition(res)).collect()) == 5
+    assert textstats.page_kinds(res).count() == 10
+    assert splitting.pieces(res, "id", "extracted_text", 300, 30, False).count() > 0
+    assert encoding.wrongly_decoded(res).count() == 0
+    often = boilerplate.frequent_lines(res, min_pages=5)
+    assert often.count() == 2
+    assert boilerplate.cleaned(res, often).where("removed_lines = 1").count() == 10
+    num = spark.createDataFrame([(1, 2.0)], "g int, v double").selectExpr("*", "'x' AS G", "'y' AS V")
+    assert quantiles.percentiles(quantiles.summaries(num, ["g"], "v"), ["g"]).collect()[0].p50 == 2.0
+    docs = other(spark.createDataFrame([(1, "a", PROSE)], "doc_id bigint, source string, text string"), "TEXT", "Source", "DOC_ID")
+    items = other(spark.createDataFrame([(1, PROSE)], "item_id bigint, text string"), "Text")
+    assert rows(leakage.leaks(items, docs), "item_id", "doc_id") == [(1, 1)]
+    assert mixing.select(docs, other(spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"), "SOURCE")).count() == 1
+    assert subjects.assign(docs, other(spark.createDataFrame([(1, "x")], "doc_id bigint, subject string"), "Subject")).count() == 0
+    jobs = other(spark.createDataFrame([(1, "a/b.pdf")], "id bigint, filename string"), "Filename")
+    books = other(spark.createDataFrame([(1, "T")], "job_id bigint, chapter_title string"), "JOB_ID")
+    gold = other(spark.createDataFrame([("1/1", 1, PROSE)], "page_id string, para_no int, text string"), "TEXT")
+    engine = other(spark.createDataFrame([(1, 1, PROSE)], "job_id bigint, page int, text string"), "Page")
+    scannoise.noise(res, engine, jobs, books, gold).collect()
