@@ -36,8 +36,9 @@ MAX_SHARDS = 20_000
 SEED = 17
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, tokens``, with the source in its plain spelling."""
+def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, sources: list[str] | None = None) -> DataFrame:
+    """``doc_id, source, tokens``, with the source in its plain spelling; only ``sources``, if
+    given, are tokenized."""
 
     def make():
         import tiktoken
@@ -50,7 +51,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     plain = F.trim(F.lower(F.regexp_replace("source", r"\s+", " ")))
     rows = require(docs, "doc_id", "source", "text").where("doc_id is not null and text is not null and text <> ''")
-    return map_batches(rows.select("doc_id", plain.alias("source"), "text").where("source is not null and source <> ''"), make, "doc_id bigint, source string, tokens bigint")
+    rows = rows.select("doc_id", plain.alias("source"), "text").where("source is not null and source <> ''")
+    return map_batches(rows if sources is None else rows.where(F.col("source").isin(sources)), make, "doc_id bigint, source string, tokens bigint")
 
 
 def sainte_lague(weights: dict, blocks: int, caps: dict) -> dict:
@@ -73,8 +75,7 @@ def select(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     """``doc_id, source, tokens, copies`` of the chosen documents."""
     spark = docs.sparkSession
     goal = {r.source.strip().lower(): (float(r.target_share), int(r.max_repeats)) for r in require(targets, "source", "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").collect()}
-    sized = count_tokens(docs, tokenizer).where(F.col("tokens") > 0)
-    sized = cut(sized.where(F.col("source").isin(*goal)) if goal else sized.limit(0))
+    sized = cut(count_tokens(docs, tokenizer, list(goal)).where(F.col("tokens") > 0))
     has = {r.source: r.t for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     empty = spark.createDataFrame([], "doc_id bigint, source string, tokens bigint, copies int")
     if not has:
