@@ -124,10 +124,10 @@ def retention(spark, sf_dir):
 
 @query("""SELECT seen, file, status, origin FROM (
     SELECT *, row_number() OVER (PARTITION BY seen, file, status ORDER BY o, origin) AS k FROM (
-      SELECT created_at AS seen, filename AS file, status, 'queue' AS origin, 0 AS o FROM ocr_jobs WHERE queue_name IS NOT NULL
-      UNION ALL SELECT created_at, filename, status, 'ledger', 1 FROM ocr_jobs)) WHERE k = 1""")
+      SELECT floor(epoch(created_at))::BIGINT AS seen, filename AS file, status, 'queue' AS origin, 0 AS o FROM ocr_jobs WHERE queue_name IS NOT NULL
+      UNION ALL SELECT floor(epoch(created_at))::BIGINT, filename, status, 'ledger', 1 FROM ocr_jobs)) WHERE k = 1""")
 def audit_union(spark, sf_dir):
-    j = table(spark, sf_dir, "ocr_jobs").select(F.col("created_at").alias("seen"), F.col("filename").alias("file"), "status", "queue_name")
+    j = table(spark, sf_dir, "ocr_jobs").select(F.unix_timestamp("created_at").alias("seen"), F.col("filename").alias("file"), "status", "queue_name")
     a = j.where("queue_name is not null").select("seen", "file", "status", F.lit("queue").alias("origin"))
     b = j.select("seen", "file", "status", F.lit("ledger").alias("origin"))
     return ledger.first_wins(a, b, ["seen", "file", "status"], F.desc_nulls_last("seen"))
@@ -141,28 +141,28 @@ def audit_search(spark, sf_dir):
     return j.select("id", "filename", status_key(F.col("status")).alias("status"))
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', created_at) AS start, count(*) AS rows FROM ocr_results WHERE created_at IS NOT NULL GROUP BY 1")
+@query("SELECT epoch(time_bucket(INTERVAL '1 hour', created_at))::BIGINT AS start, count(*) AS rows FROM ocr_results WHERE created_at IS NOT NULL GROUP BY 1")
 def rate_panel(spark, sf_dir):
-    return ledger.rate_panel(table(spark, sf_dir, "ocr_results"), "created_at", "1 hour")
+    return ledger.rate_panel(table(spark, sf_dir, "ocr_results"), "created_at", "1 hour").select(F.unix_timestamp("start").alias("start"), "rows")
 
 
-@query(f"""SELECT time_bucket(INTERVAL '1 day', created_at, TIMESTAMPTZ '2000-01-01 00:00:00+00') AS start, round(quantile_cont(t, 0.5) + 1e-9, 4) AS p50, round(quantile_cont(t, 0.95) + 1e-9, 4) AS p95
+@query(f"""SELECT epoch(time_bucket(INTERVAL '1 day', created_at, TIMESTAMPTZ '2000-01-01 00:00:00+00'))::BIGINT AS start, round(quantile_cont(t, 0.5) + 1e-9, 4) AS p50, round(quantile_cont(t, 0.95) + 1e-9, 4) AS p95
     FROM (SELECT created_at, {_OK('processing_time')} AS t FROM ocr_results WHERE created_at IS NOT NULL) WHERE t IS NOT NULL GROUP BY 1""")
 def quantile_panel(spark, sf_dir):
-    return ledger.quantile_panel(table(spark, sf_dir, "ocr_results"), "created_at", "1 day", "processing_time")
+    return ledger.quantile_panel(table(spark, sf_dir, "ocr_results"), "created_at", "1 day", "processing_time").select(F.unix_timestamp("start").alias("start"), "p50", "p95")
 
 
-@query("""SELECT event_type, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, max(ts) AS last FROM events GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean, floor(epoch(max(ts)))::BIGINT AS last FROM events GROUP BY 1""")
 def event_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), ledger.rounded(F.avg("value")).alias("mean"), F.max("ts").alias("last"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), ledger.rounded(F.avg("value")).alias("mean"), F.unix_timestamp(F.max("ts").cast("timestamp")).alias("last"))
 
 
-@query("""SELECT worker_id, last_seen, last_seen >= (SELECT max(started_at) FROM ocr_jobs) - INTERVAL '7 days' AS alive FROM
+@query("""SELECT worker_id, floor(epoch(last_seen))::BIGINT AS last_seen, last_seen >= (SELECT max(started_at) FROM ocr_jobs) - INTERVAL '7 days' AS alive FROM
     (SELECT worker_id, max(started_at) AS last_seen FROM ocr_jobs WHERE worker_id IS NOT NULL AND started_at IS NOT NULL GROUP BY 1)""")
 def worker_liveness(spark, sf_dir):
     seen = table(spark, sf_dir, "ocr_jobs").where("worker_id is not null and started_at is not null").groupBy("worker_id").agg(F.max("started_at").alias("last_seen"))
     newest = F.max("last_seen").over(Window.partitionBy())  # one row per worker
-    return seen.withColumn("newest", newest).select("worker_id", "last_seen", (F.col("last_seen") >= F.col("newest") - F.expr("interval 7 days")).alias("alive"))
+    return seen.withColumn("newest", newest).select("worker_id", F.unix_timestamp("last_seen").alias("last_seen"), (F.col("last_seen") >= F.col("newest") - F.expr("interval 7 days")).alias("alive"))
 
 
 @query("""SELECT doc_id FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY created_at, doc_id) AS run, sum(n_chars) OVER () AS total FROM documents WHERE created_at IS NOT NULL AND n_chars IS NOT NULL)

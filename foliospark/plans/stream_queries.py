@@ -7,9 +7,9 @@ from foliospark.streaming import streams
 from .registry import query
 
 
-@query("SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2000-01-01 00:00:00') AS start, event_type, count(*) AS rows FROM events GROUP BY 1, 2")
+@query("SELECT epoch(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2000-01-01 00:00:00'))::BIGINT AS start, event_type, count(*) AS rows FROM events GROUP BY 1, 2")
 def stream_rates(spark, sf_dir):
-    return streams.run_once(streams.rates(streams.file_stream(spark, f"{sf_dir}/events.parquet"), "ts", "1 day", "60 days", "event_type"), "complete").selectExpr("CAST(start AS timestamp_ntz) AS start", "event_type", "rows")
+    return streams.run_once(streams.rates(streams.file_stream(spark, f"{sf_dir}/events.parquet"), "ts", "1 day", "60 days", "event_type"), "complete").selectExpr("unix_timestamp(start) AS start", "event_type", "rows")
 
 
 @query("SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY 1, 2")
