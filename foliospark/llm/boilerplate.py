@@ -5,7 +5,8 @@ each line form stands; a line is frequent from ``MIN_PAGES`` pages and ``MIN_SHA
 the source's pages with text. Longer sequences grow level by level: every occurrence of a
 frequent sequence is kept as (source, page, end of its first match) - the projected
 database - and is joined with the frequent lines that follow on that page; what reaches
-the support is kept and grown further.
+the support is kept and grown further, until a level has none. Of n frequent lines that
+stand in one order on the pages every subsequence is frequent: 2^n - 1 of them.
 
 Counting first groups by source, line and page, then by source and line: the first
 exchange spreads even a line that stands on every page of one huge source, and the second
@@ -17,6 +18,8 @@ saved again counts once. A source is compared by its id, lines by their form.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +30,6 @@ from .base import require
 
 MIN_PAGES = 8
 MIN_SHARE = 0.2
-#: Longest sequence of lines that is grown.
-MAX_LENGTH = 6
 
 #: Letters of the form of a line (fixed values).
 LETTERS = "a-zà-öø-ÿœ"
@@ -59,8 +60,9 @@ def frequent_lines(df: DataFrame, source: str = "job_id", page: str = "page_numb
     return support.join(of, "source").where(F.col("pages") >= min_share * F.col("of_pages")).select("source", "line", "pages", "of_pages")
 
 
-def sequences(df: DataFrame, source: str = "job_id", page: str = "page_number", text: str = "extracted_text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_length: int = MAX_LENGTH) -> DataFrame:
-    """Every frequent sequence of lines, single ones included: ``source, lines, length, pages``."""
+def sequences(df: DataFrame, source: str = "job_id", page: str = "page_number", text: str = "extracted_text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_length: int | None = None) -> DataFrame:
+    """Every frequent sequence of lines, single ones included: ``source, lines, length, pages``.
+    Only with ``max_length`` none that is longer."""
     first = cut(frequent_lines(df, source, page, text, min_pages, min_share))
     placed = _pages(df, source, page, text).select("source", "page", F.posexplode(F.split(form(F.col("text")), "\n")).alias("at", "line"))
     # of a page saved twice the first places count; only frequent lines are kept
@@ -69,7 +71,7 @@ def sequences(df: DataFrame, source: str = "job_id", page: str = "page_number",
     need = first.groupBy("source").agg(F.greatest(F.lit(min_pages), F.ceil(F.lit(min_share) * F.first("of_pages"))).alias("need"))
     level = placed.groupBy("source", "page", "line").agg(F.min("at").alias("end")).select("source", "page", F.array("line").alias("lines"), "end")
     found = first.select("source", F.array("line").alias("lines"), "pages")
-    for _ in range(1, max_length):
+    for _ in itertools.count(1) if max_length is None else range(1, max_length):
         grown = (
             level.join(placed, ["source", "page"]).where(F.col("at") > F.col("end"))
             .groupBy("source", "page", F.concat("lines", F.array("line")).alias("lines")).agg(F.min("at").alias("end"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import statistics
 from collections import Counter
@@ -250,6 +251,14 @@ def test_prefixspan_is_brute_force(spark):
     assert got == want
 
 
+def test_sequences_of_a_long_notice(spark):
+    notice = [f"Clause {x} of the notice" for x in "abcdefgh"]
+    df = pages(spark, [(k, 1, k, "\n".join([f"Own line {chr(97 + k)}x", *notice])) for k in range(10)])
+    got = {tuple(r.lines): (r.length, r.pages) for r in boilerplate.sequences(df).collect()}
+    forms = [x.lower() for x in notice]
+    assert got == {s: (n, 10) for n in range(1, 9) for s in itertools.combinations(forms, n)}
+
+
 # ---- problem 7 ----
 
 
