@@ -9,8 +9,9 @@ gets every subject whose share of its sentences reaches that subject's threshold
 calibrated on the labelled documents around ``SHARE``.
 
 Only the labelled rows are a bounded sample (``MAX_LABELLED`` documents, lowest hash
-first); term rarity and the subjects themselves come from all documents. The terms sent to
-executors are at most ``TERMS_PER_SUBJECT`` a subject.
+first); term rarity and the subjects themselves come from all documents. Every word of the
+sample that reaches ``MIN_ODDS`` on ``MIN_DOCUMENTS`` is a term, so the terms sent to
+executors are bounded by the sample's words.
 
 Null, empty and wordless texts have no subject. Repeated texts under other ids are
 documents of their own. Without labels nothing is assigned.
@@ -30,7 +31,6 @@ from foliospark.session import cut
 from .base import _WORD, fold, map_batches, require
 
 MAX_LABELLED = 20_000
-TERMS_PER_SUBJECT = 400
 MIN_ODDS = 2.5
 MIN_WEIGHT = 2.5
 MIN_DOCUMENTS = 3
@@ -80,8 +80,8 @@ def learn_terms(docs: DataFrame, labels: DataFrame, none: str = "none") -> dict[
     for k, (s, n) in enumerate(size.items()):
         c = F.col(f"s{k}")
         odds = F.log((c / F.lit(float(n))) / ((F.col("n") - c + 0.5) / F.lit(float(total - n + 1))))
-        best = by_word.where(c >= MIN_DOCUMENTS).select("word", odds.alias("odds"), c.alias("c")).where(F.col("odds") >= MIN_ODDS)
-        for r in best.orderBy(F.desc("c"), "word").limit(TERMS_PER_SUBJECT).collect():
+        best = by_word.where(c >= MIN_DOCUMENTS).select("word", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
+        for r in best.collect():
             terms.setdefault(r.word, {})[s] = r.odds
     return terms
 

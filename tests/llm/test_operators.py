@@ -389,6 +389,15 @@ def test_subjects(spark):
     assert subjects.assign(docs, lab.limit(0)).collect() == [] and subjects.assign(docs.limit(0), lab).collect() == []
 
 
+def test_every_term_that_passes_is_kept(spark):
+    own = [f"{a}{b}{c}ing" for a in "bcdfghjklm" for b in "aeiou" for c in "bdfgklmnp"]
+    data = [(k, f"We saw {' '.join(own)} there.") for k in range(6)] + [(k, "We saw nothing there at all.") for k in range(6, 60)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(k, "sea" if k < 6 else "none") for k in range(60)], "doc_id bigint, subject string")
+    got = subjects.learn_terms(docs, lab)
+    assert len(own) == 450 and set(own) <= set(got)
+
+
 # ---- columns that clash ----
 
 
