@@ -9,7 +9,7 @@ lacks are furniture.
 
 Texts are read in one Arrow pass and are never shuffled; only first and last lines (and
 counts) meet the titles of their job. The models, fitted on at most ``MAX_GOLD`` pages, and
-the words of those pages are what is sent to the executors.
+the distinct words of all right paragraphs are what is sent to the executors.
 
 Null and blank texts and rows without job or page have no noise. A page that stands twice
 in a table is one case. Wrongly decoded words are left alone.
@@ -402,15 +402,30 @@ def align(noisy: str, right: str) -> tuple[Counter, list[tuple[str, str, str, bo
     return pairs, marks
 
 
+def right_words(gold: DataFrame) -> set[str]:
+    """The words of all right paragraphs, and the parts of those with a hyphen or apostrophe."""
+
+    def make():
+        def run(texts):
+            words = {c.lower() for t in texts for c in _cores(t)}
+            return [(x,) for x in words.union(*(re.split("[-'’‐]", w) for w in words)) if x]
+
+        return run
+
+    own = require(gold, "page_id", "text").where("page_id is not null and text is not null").select("text")
+    return {r.word for r in map_batches(own, make, "word string").distinct().collect()}
+
+
 def fit(gold: DataFrame, pages: DataFrame, jobs: DataFrame, paragraphs: DataFrame) -> Editor:
-    """Train on at most ``MAX_GOLD`` pages with known paragraphs, lowest hash first."""
+    """Train on at most ``MAX_GOLD`` pages with known paragraphs, lowest hash first; the words
+    known to be right are those of all known paragraphs."""
     own = require(gold, "page_id", "para_no", "text").where("page_id is not null and text is not null")
     own = own.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda x: x["text"]), "\n").alias("right"))
     own = own.orderBy(F.xxhash64("page_id"), "page_id").limit(MAX_GOLD)
     keyed = pages.withColumn("page_id", F.concat_ws("/", F.col("job_id").cast("string"), F.col("page").cast("string")))
     both = cut(keyed.join(F.broadcast(own), "page_id").dropDuplicates(["table_name", "page_id", "text"]))
     rows = both.select("table_name", "page_id", "text", "right").orderBy("page_id", "table_name", "text").collect()  # at most two tables' rows of MAX_GOLD pages
-    pairs, marks, known = Counter(), [], Counter()
+    pairs, marks, known = Counter(), [], right_words(gold)
     rights = {}
     often: Counter = Counter()
     for r in rows:
@@ -419,15 +434,10 @@ def fit(gold: DataFrame, pages: DataFrame, jobs: DataFrame, paragraphs: DataFram
         p, m = align(r.text, r.right)
         pairs += p
         marks += m
-    for right in rights.values():
-        for w in _cores(right):
-            low = w.lower()
-            known[low] += 1
-            known.update(x for x in re.split("[-'’‐]", low) if x and x != low)
     # words outside the right paragraphs, as in notices, if they come often and never for another
     wrong = {a for a, b in pairs if a != b}
     known.update(w for w, n in often.items() if n >= OFTEN and w not in wrong and not _impossible(w))
-    editor = Editor(set(known))
+    editor = Editor(known)
     editor.train_words(pairs)
     for _ in range(EPOCHS):
         for a, mark, b, joins in marks:

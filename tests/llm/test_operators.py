@@ -175,6 +175,18 @@ def test_noise_of_empty_tables(spark):
     assert scannoise.noise(empty, engine, jobs, books, gold).collect() == []
 
 
+def test_words_of_all_right_paragraphs_are_known(spark, monkeypatch):
+    monkeypatch.setattr(scannoise, "MAX_GOLD", 2)
+    words = ["harbour", "kitchen", "lantern", "meadow", "orchard", "well-kept"]
+    res = pages(spark, [(k, 7, k, f"The {w} stood there") for k, w in enumerate(words)])
+    engine = spark.createDataFrame([], "job_id bigint, page int, text string")
+    jobs = spark.createDataFrame([], "id bigint, filename string")
+    books = spark.createDataFrame([], "job_id bigint, chapter_title string")
+    gold = spark.createDataFrame([(f"7/{k}", 1, f"The {w} stood there.") for k, w in enumerate(words)], "page_id string, para_no int, text string")
+    known = scannoise.fit(gold, scannoise.all_pages(res, engine), jobs, books).known
+    assert {*words, "the", "well", "kept"} <= known
+
+
 # ---- problem 5 ----
 
 ACCENTED = ["L’été dernier, la forêt était pleine de bœufs — “très calme”, disait-elle.", "Die Bürger prüften für 20 € die Türen; „alles in großer Eile“, schrieb Köllmar.", "El capitán señaló « aquí » la bahía. ¿Quién? 15° al norte…"]
