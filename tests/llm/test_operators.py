@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import boilerplate, encoding, leakage, mixing, quantiles, repetition, scannoise, splitting, subjects, textstats
+from foliospark.llm import boilerplate, encoding, leakage, mixing, quantiles, queries, repetition, scannoise, splitting, subjects, textstats
 from foliospark.llm.base import fold, fold_words
 
 PROSE = "The old captain left the harbour before the storm, and nobody in the village asked where he went. It was a quiet evening with little wind."
@@ -308,6 +308,15 @@ def test_median_of_few(spark):
     assert quantiles.summaries(df.limit(0), ["g"], "v").collect() == []
 
 
+def test_metric_percentiles_of_days_are_those_of_the_whole(spark, tmp_path):
+    rng = random.Random(8)
+    data = [(k, k % 3, rng.choice([rng.random(), -1.0, float("nan"), None]), k % 5) for k in range(200)]
+    df = spark.createDataFrame(data, "id bigint, job_id bigint, avg_page_time double, d int")
+    df.selectExpr("id", "job_id", "avg_page_time", "timestamp'2024-01-01 12:00:00' + make_dt_interval(d) AS timestamp").write.parquet(f"{tmp_path}/ocr_metrics.parquet")
+    whole, days = (queries.QUERIES[q](spark, str(tmp_path)) for q in ("p7_metric_percentiles", "p7_metric_percentiles_by_day"))
+    assert rows(days, *whole.columns) == rows(whole, *whole.columns) and days.count() == 3
+
+
 # ---- problem 8 ----
 
 
