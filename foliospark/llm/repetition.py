@@ -1,14 +1,16 @@
 """Problem 1: repetition inside a single document.
 
 Per document the share of its words that lie in a stretch of ``STRETCH`` or more words
-that occurred earlier in the same document, and the shares of repeated lines, sentences
-and word pairs. Rules over these measures vote *repetitive*, vote *not*, or abstain.
-Expectation-maximisation over the counts of the vote patterns (a few hundred at most,
-however many documents there are) estimates how often each rule is right, and the
-posterior probability of a document's pattern replaces a filter that all rules must pass.
+that occurred earlier in the same document, and the shares of repeated phrases, lines,
+sentences and word pairs. Rules over these measures vote *repetitive*, vote *not*, or
+abstain near their threshold. Expectation-maximisation over the counts of the vote patterns
+(a few hundred at most, however many documents there are) estimates how often each rule is
+right, and the posterior probability of a document's pattern decides: no single rule has to
+pass, and one that errs is outvoted by those that the data show to be better.
 
 Words are compared without case, punctuation and spacing; digits count. Null, blank and
-wordless texts are left out. Rows that repeat a text each give their own row.
+wordless texts are left out. Pages without readable words take no part in the fit and are
+no cases. Rows that repeat a text each give their own row.
 """
 
 from __future__ import annotations
@@ -23,22 +25,23 @@ from pyspark.sql import functions as F
 from foliospark.session import cut
 
 from .base import map_batches, require
-from .textstats import FEW_READABLE, measure
+from .textstats import FEW_READABLE, readable_share
 
-STRETCH = 5
-#: Share of words in repeated stretches from which a page is repetitive.
-MIN_SHARE = 0.4
+STRETCH, PHRASE = 5, 3
+#: Posterior probability from which a document is repetitive.
+PROBABLE = 0.5
 
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”»)]*\s+")
 
-MEASURES = "words int, repeated_share double, line_share double, sentence_share double, pair_share double, readable boolean"
+MEASURES = "words int, repeated_share double, phrase_share double, line_share double, sentence_share double, pair_share double, readable boolean"
 
 #: Rules: column, votes *repetitive* from, votes *not* up to; between them it abstains.
 RULES = (
-    ("repeated_share", 0.4, 0.3),
+    ("repeated_share", 0.45, 0.35),
+    ("phrase_share", 0.5, 0.35),
     ("line_share", 0.35, -1.0),
-    ("sentence_share", 0.3, 0.1),
+    ("sentence_share", 0.3, 0.05),
     ("pair_share", 0.45, 0.3),
 )
 
@@ -84,13 +87,13 @@ def measures(df: DataFrame, id_col: str = "id", text_col: str = "extracted_text"
                 words = _TOKEN.findall(low)
                 if not words:
                     continue
-                share = stretch_share(words)
+                phrases = stretch_share(words, PHRASE)
+                share = stretch_share(words) if phrases else 0.0  # a repeated stretch repeats phrases
                 lines = [x for x in map(str.strip, low.split("\n")) if x]
                 sentences = [" ".join(x.split()) for x in _SENTENCE.split(low)]
                 pairs = len(words) - 1 - len(set(zip(words, words[1:])))
-                # readability is only asked of pages that could be cases
-                readable = share < MIN_SHARE / 2 or measure(text, known)[9] >= FEW_READABLE
-                rows.append((i, len(words), share, _share(lines), _share([s for s in sentences if s]), max(0, pairs) / len(words), readable))
+                readable = readable_share(text, known) >= FEW_READABLE
+                rows.append((i, len(words), share, phrases, _share(lines), _share([s for s in sentences if s]), max(0, pairs) / len(words), readable))
             return rows
 
         return run
@@ -128,14 +131,15 @@ def fit(counts: dict[str, int], rounds: int = 50, prior: float = 0.1) -> tuple[d
 
 
 def repetition(df: DataFrame, id_col: str = "id", text_col: str = "extracted_text") -> DataFrame:
-    """Measures, votes and posterior ``p_repetitive`` of every document with words."""
+    """Measures, votes and posterior ``p_repetitive`` of every document with words; 0 for
+    documents without readable words."""
     voted = votes(cut(measures(df, id_col, text_col)))  # read twice: counted, then scored
-    counts = {r.pattern: r["count"] for r in voted.groupBy("pattern").count().collect()}  # at most 3 ** rules
+    counts = {r.pattern: r["count"] for r in voted.where("readable").groupBy("pattern").count().collect()}  # at most 3 ** rules
     posterior, _, _ = fit(counts)
-    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in posterior.items())) if posterior else F.lit(None).cast("map<string,double>")
-    return voted.withColumn("p_repetitive", known[F.col("pattern")])
+    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in posterior.items())) if posterior else F.create_map().cast("map<string,double>")
+    return voted.withColumn("p_repetitive", F.when(F.col("readable"), known[F.col("pattern")]).otherwise(F.lit(0.0)))
 
 
 def repetitive(scored: DataFrame) -> DataFrame:
-    """Readable documents that are probably repetitive and, checked exactly, hold the share."""
-    return scored.where("p_repetitive >= 0.5 and readable").where(F.col("repeated_share") >= MIN_SHARE)
+    """Documents whose vote pattern is probably that of repetitive ones."""
+    return scored.where(F.col("p_repetitive") >= PROBABLE)

@@ -6,8 +6,8 @@ several times the CPU). Per language a mergeable KLL quantile sketch of each sta
 built; sketches of separate partitions, days or tables merge (:func:`sketches`,
 :func:`merged`). A value becomes a robust z-score against its language's median and
 interquartile range, and a page is flagged where it lies in the tail: few readable words
-for junk, many lines of cells for a table, many entries for a list. The kind is the
-strongest flag, and it must hold for most lines of the page, as the kinds are defined.
+for junk, many lines of cells for a table, many entries for a list. The tails decide the
+kind: there is no fixed cut on a share, so what is usual in a language is no flag there.
 
 Null, empty and blank texts have no statistics and no kind (they are left out). Languages
 that can't be told count as ``und`` and are held against all languages together. Repeated rows each give their own row.
@@ -60,10 +60,12 @@ SKETCHED = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "sentenc
 
 #: A scale below this counts as this: a share whose quartiles coincide has no spread of its own.
 SCALE_FLOOR = 0.1
-#: Robust z-score from which a value lies in the tail.
-TAIL = 3.0
-#: Shares that the page itself must reach: most lines, or hardly a readable word.
-MOST_LINES, FEW_READABLE = 0.4, 0.34
+#: Robust z-scores from which lines lie in the tail, and below which readable words do.
+TAIL, LOW_TAIL = 4.0, -6.0
+#: Cells beside entries from which a page with both is a table, as a ratio of their z-scores.
+CELLS_WEIGH = 0.7
+#: Share of readable words below which a text holds none to speak of (asked by other problems).
+FEW_READABLE = 0.34
 #: Sentence ends per line, below which short lines aren't wrapped prose.
 FEW_SENTENCES = 0.2
 
@@ -84,6 +86,20 @@ def _word(word: str) -> tuple[int, int, tuple[int, ...]]:
     return len(word), len(word) * all(map(READABLE.match, parts)), _COMMON.get(core.lower(), ())
 
 
+def readable_share(text: str, known: dict[str, tuple]) -> float:
+    """Share of the characters of words that can be read; the same as :func:`measure` gives."""
+    tokens = readable = 0
+    for w in text.split():
+        got = known.get(w)
+        if got is None:
+            if len(known) > _MEMORY:
+                known.clear()
+            got = known[w] = _word(w)
+        tokens += got[0]
+        readable += got[1]
+    return readable / tokens if tokens else 0.0
+
+
 def measure(text: str, known: dict[str, tuple]) -> tuple:
     """The statistics of one non-blank text, in the order of ``STATS``. ``known`` remembers words."""
     words = text.split()
@@ -186,11 +202,12 @@ def scored(stats: DataFrame, spread: DataFrame) -> DataFrame:
 
 
 def kinds(scores: DataFrame) -> DataFrame:
-    """Adds ``kind``: the strongest flag of the tails that holds for most of the page."""
+    """Adds ``kind``, from the tails alone: hardly a readable word, else the stronger of cells
+    and entries."""
     c = F.col
-    junk = (c("z_readable_share") < -TAIL) & (c("readable_share") < FEW_READABLE)
-    table = (c("z_cell_share") > TAIL) & (c("cell_share") >= MOST_LINES) & (c("cell_share") >= c("entry_share") * 0.7)
-    listed = (c("z_entry_share") > TAIL) & (c("entry_share") >= MOST_LINES)
+    junk = c("z_readable_share") < LOW_TAIL
+    table = (c("z_cell_share") >= TAIL) & (c("z_cell_share") >= CELLS_WEIGH * c("z_entry_share"))
+    listed = c("z_entry_share") >= TAIL
     return scores.withColumn("kind", F.when(junk, "junk").when(table, "table").when(listed, "list").otherwise("prose"))
 
 

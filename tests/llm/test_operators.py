@@ -61,11 +61,33 @@ def test_repetition_finds_repeating_pages(spark):
 
 
 def test_em_trusts_the_rules_that_agree():
-    post, rates, prior = repetition.fit({"1111": 50, "0000": 900, "1-1-": 10, "0001": 40, "----": 5})
-    assert post["1111"] > 0.99 and post["0000"] < 0.01 and post["0001"] < 0.5 and 0.01 < prior < 0.2
+    post, rates, prior = repetition.fit({"11111": 50, "00000": 900, "1-1--": 10, "00001": 40, "-----": 5})
+    assert post["11111"] > 0.99 and post["00000"] < 0.01 and post["00001"] < 0.5 and 0.01 < prior < 0.2
     assert repetition.fit({})[0] == {}
 
 
+def test_the_posterior_decides_and_no_filter_does(spark):
+    """Neither *every rule that votes says so* nor *some rule says so* gives the rows."""
+    other = "Nine herons stood on a frozen pond near our mill while Anna counted every feather twice for her small notebook."
+    data = [(k, 1, k, f"{PROSE} Number {k} of {k * 7}. {other[: 40 + k]}") for k in range(40)]
+    data += [(100 + k, 1, k, " ".join([f"{PROSE} Number {k}."] * 4)) for k in range(6)]
+    # one sentence that never ends: the sentence rule votes against
+    data += [(200 + k, 1, k, " ".join([f"then we went down to mill number {k} and sat there"] * 4)) for k in range(6)]
+    # one line again and again between others: the line rule alone votes for it
+    own = [f"{a}{b}{c}o {a}{c}{b}i" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    data += [(300 + k, 1, k, "\n".join(x for w in own[k * 9 : k * 9 + 30] for x in (w, "of wintergrain"))) for k in range(3)]
+    by = {r.result_id: r for r in repetition.repetition(pages(spark, data)).collect()}
+    got = {i for i, r in by.items() if r.p_repetitive >= repetition.PROBABLE}
+    assert got == {*range(100, 106), *range(200, 206)}
+    assert got != {i for i, r in by.items() if "1" in r.pattern and "0" not in r.pattern}
+    assert got != {i for i, r in by.items() if "1" in r.pattern}
+
+
+def test_readable_of_every_page(spark):
+    got = {r.result_id: (r.readable, r.p_repetitive) for r in repetition.repetition(pages(spark, [(1, 1, 1, JUNK), (2, 1, 2, PROSE), (3, 1, 3, "\n".join([JUNK] * 5))])).collect()}
+    assert not got[1][0] and got[2][0] and got[3] == (False, 0.0)
+
+
 # ---- problem 2 ----
 
 
@@ -91,6 +113,15 @@ def test_sketches_of_days_merge_to_the_whole(spark):
     assert [r._q_words for r in a] == [r._q_words for r in b]
 
 
+def test_the_sketches_decide_the_kind(spark):
+    """The same page is in the tail of one corpus and usual in another."""
+    data = [(k, 1, k, f"The house of number {k} stood by the water and nobody asked for it. " + PROSE) for k in range(30)]
+    kind = lambda rows: {r.result_id: r.kind for r in textstats.page_kinds(pages(spark, rows)).collect()}
+    page = LIST + "\n" + PROSE
+    assert kind([*data, (99, 1, 99, page)])[99] == "list"
+    assert kind([*data[:3], *[(200 + k, 1, k, page + f" {k}") for k in range(30)], (99, 1, 99, page)])[99] == "prose"
+
+
 # ---- problem 3 ----
 
 
