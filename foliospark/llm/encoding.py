@@ -1,11 +1,16 @@
 """Problem 5: text that was decoded with the wrong character encoding.
 
-A page is looked at through its *marks*: its words with characters outside ASCII. A plausibility cost says how odd a mark is in
-English, French, German and Spanish text. Where a page costs anything, a best-first search
-runs over encode, decode and unescape steps: a state is the tuple of the page's distinct
-marks, states seen before (by hash) are not opened again, and the cheapest state is opened
-first. A step changes only the marks that it can change, so pages that are wrong in part
-are restored in part. The path to the cheapest state, replayed over the text, restores it.
+A page is looked at through its *marks*: its words with characters outside ASCII or with
+escapes of such characters. A plausibility cost says how odd a mark is in English, French,
+German and Spanish text. From every odd mark a best-first search runs over encode, decode
+and unescape steps: the cheapest state is opened first, states seen before (by hash) are not
+opened again, and it ends when no state is left, so the cheapest text that can be reached is
+the one found. Every step must make a mark less odd, or shorter and no odder, so the
+states of a mark are finite without a cap on steps or states.
+
+Words are searched by themselves because a page can be wrong in parts and in several ways.
+The page decides between texts of equal cost (the path that explains most of its marks),
+and its paths also mend marks that are wrong without being odd.
 
 Null and blank text is no case; ids are kept as they are, repeated rows included.
 """
@@ -22,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .base import map_batches, require
 
-MARK = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+ESCAPE = r"&(?:amp;)*(?:[a-zA-Z]{2,8}|#x?[0-9a-fA-F]{2,6});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}"
+MARK = re.compile(rf"[^ \t\r\n]*?(?:[^\x00-\x7f]|{ESCAPE})[^ \t\r\n]*")
 LOST_BLANK = re.compile(r"([ÃĂ├√Г])(?=[.,;:!?]?$)")
 LOST_QUOTE = re.compile(r"â€(?=[\x00-\x7f]|$)")
 RUN = re.compile(r"[^\x00-\x7f]+")
-ESCAPES = re.compile(r"&(?:[a-z]{2,8}|#x?[0-9a-f]{2,6});|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}", re.I)
+_BACKSLASHED = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))")
+ESCAPES = re.compile(ESCAPE)
 
 #: Encodings that texts are wrongly read with, and that they are really in (fixed values).
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "iso8859_2", "iso8859_15")
@@ -38,8 +45,9 @@ UPPER = set("ÀÂÄÁÅÆÇÈÉÊËÍÎÏÑÓÔÖØŒÙÚÛÜ")
 OPEN, CLOSE, MIDDLE = set("“„«‘¿¡‚‹"), set("”»’“‘…›"), set("—–·•▪‐©®™×−")
 BEFORE_DIGIT, AFTER_DIGIT = set("£€§$¥±"), set("°%²³½¼¾€º")
 
-MAX_DEPTH, MAX_OPENED = 3, 40
 STEP_COST = 0.5
+#: Cost of the escape of a character outside ASCII.
+ESCAPE_COST = 3
 #: From this gain, or this cost that nothing lowers, a page counts as wrongly decoded.
 MIN_GAIN, MIN_COST = 2.5, 5.0
 
@@ -54,10 +62,19 @@ def _private(c: str) -> bool:
     return "\ue000" <= c <= "\uf8ff"
 
 
+def _unescaped(s: str) -> str:
+    """Without HTML escapes, however often they were escaped themselves, and backslash escapes."""
+    while "&" in s and (out := html.unescape(s)) != s:
+        s = out
+    return _BACKSLASHED.sub(lambda m: chr(int(m[1] or m[2], 16)), s) if "\\" in s else s
+
+
 @lru_cache(maxsize=1 << 17)
 def mark_cost(mark: str) -> float:
     """How odd a mark is; 0 where it is rightly written."""
     total, n = 0.0, len(mark)
+    if "&" in mark or "\\" in mark:
+        total += ESCAPE_COST * sum(not _unescaped(x).isascii() for x in ESCAPES.findall(mark))
     for k, c in enumerate(mark):
         if c < "\x80":
             continue
@@ -123,10 +140,7 @@ def _sloppy_encode(s: str, name: str) -> bytes:
 def step(mark: str, read_as: str, really: str) -> str:
     """The mark re-encoded and decoded; unchanged where that isn't possible."""
     if read_as == "unescape":
-        out = html.unescape(mark)
-        if "\\" in out:
-            out = re.sub(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2}))", lambda m: chr(int(m[1] or m[2], 16)), out)
-        return out
+        return ESCAPES.sub(lambda m: c if not (c := _unescaped(m[0])).isascii() else m[0], mark)
     if really == "utf-8":
         # bytes that were lost because they look like blanks or are no characters
         mark = LOST_BLANK.sub("\\1\xa0", mark)
@@ -145,73 +159,90 @@ def _recoded(run: str, read_as: str, really: str) -> str:
 STEPS = [(a, b) for a in READ_AS for b in REALLY if a != b] + [("unescape", "")]
 
 
-def search(marks: tuple[str, ...]) -> tuple[float, float, tuple]:
-    """(cost now, least cost reached, path to it)."""
-    cost = lambda s: sum(map(mark_cost, s))
-    start = cost(marks)
-    best, least, opened, order = (start, ()), (start, 0), 0, 0
-    seen, heap = {hash(marks)}, [(start, 0, marks, ())]
-    while heap and opened < MAX_OPENED:
-        _, _, state, path = heapq.heappop(heap)
-        opened += 1
-        if best[1] and best[0] == 0:
+def _strange(mark: str) -> float:
+    """Cost of a state; symbols of private code points that a step brings forth are odd."""
+    return mark_cost(mark) + sum(map(_private, mark))
+
+
+@lru_cache(maxsize=1 << 16)
+def search(mark: str) -> tuple[float, float, tuple]:
+    """(cost now, least cost that can be reached, paths that reach it). It ends when a text
+    without cost is found and no state as cheap is left, else when every state was opened."""
+    start = least = _strange(mark)
+    ends = {()}
+    seen, heap, order = {hash(mark)}, [(start, 0, start, mark, ())], 0
+    while heap:
+        rank, _, cost, state, path = heapq.heappop(heap)
+        if not least and rank > STEP_COST * min(map(len, ends)):
             break
-        if len(path) == MAX_DEPTH:
-            continue
         for a, b in STEPS:
-            # a step holds for a mark only where it makes it no odder
-            nxt = tuple(n if (n := step(m, a, b)) == m or mark_cost(n) <= mark_cost(m) else m for m in state)
-            if (h := hash(nxt)) in seen:
+            nxt = step(state, a, b)
+            if nxt == state or (c := _strange(nxt)) > cost or (c == cost and len(nxt) >= len(state)):
                 continue
-            seen.add(h)
-            c, way = cost(nxt), (*path, (a, b))
-            # of equally cheap states the one with more marks changed: it spares none by chance
-            rank = (c + STEP_COST * len(way), -sum(map(str.__ne__, marks, nxt)))
-            if rank < least:
-                best, least = (c, way), rank
-            order += 1
-            heapq.heappush(heap, (c + STEP_COST * len(way), order, nxt, way))
-    return start, best[0], best[1]
+            way = (*path, (a, b))
+            if c < least:
+                least, ends = c, set()
+            if c == least:  # another way to a text that is known already counts for the page
+                ends.add(way)
+            if (h := hash(nxt)) not in seen:
+                seen.add(h)
+                order += 1
+                heapq.heappush(heap, (c + STEP_COST * len(way), order, c, nxt, way))
+    return start, least, tuple(sorted(ends))
 
 
 def marks_of(text: str) -> tuple[str, ...]:
-    found = MARK.findall(text)
-    if "&" in text or "\\" in text:
-        found += ESCAPES.findall(text)
-    return tuple(dict.fromkeys(found))
+    return tuple(dict.fromkeys(MARK.findall(text)))
 
 
-def restore(text: str, path: tuple) -> str:
-    for a, b in path:
-        if a == "unescape":
-            text = ESCAPES.sub(lambda m: step(m[0], a, b), text)
-        else:
-            text = MARK.sub(lambda m: n if mark_cost(n := step(m[0], a, b)) <= mark_cost(m[0]) else m[0], text)
-    return text
+def restore(text: str, mended: dict[str, str]) -> str:
+    return MARK.sub(lambda m: mended.get(m[0], m[0]), text) if mended else text
 
 
-def _unreadable(text: str) -> bool:
-    """A page of signs without words holds no text to decode."""
-    letters = sum(map(str.isalpha, text))
-    return letters < 0.5 * (len(text) - text.count(" ") - text.count("\n") or 1)
+def _walk(mark: str, path: tuple) -> str:
+    """The mark after a page's path, each step of which holds where it makes it no odder."""
+    for a, b in path:
+        if (n := step(mark, a, b)) != mark and _strange(n) <= _strange(mark):
+            mark = n
+    return mark
 
 
-def diagnose(text: str) -> tuple[str, float, float, bool, tuple] | None:
-    """None for rightly decoded text, else path, costs, whether all of it could be restored."""
+def diagnose(text: str) -> tuple[str, float, float, bool, dict] | None:
+    """None for rightly decoded text, else paths, costs, whether all of it could be restored,
+    and what each wrong mark becomes."""
     marks = marks_of(text)
-    odd = tuple(m for m in marks if mark_cost(m) or m.isascii())
-    if not odd or _unreadable(text):
+    odd = [m for m in marks if mark_cost(m)]
+    if not odd:
         return None
-    # marks without cost come along: a step must not spoil them, and some are wrong as well
-    before, after, path = search(marks)
+    found = {m: search(m) for m in odd}
+    before, after = sum(f[0] for f in found.values()), sum(f[1] for f in found.values())
     if before - after < MIN_GAIN and before < MIN_COST:
         return None
-    return " ".join(f"{a}>{b}" for a, b in path), before, after, after == 0, path
+    # the paths of any mark are tried on all: first comes what explains most odd marks, then the
+    # shorter path, then the one that changes more of the marks without cost (it spares none by chance)
+    plain = [m for m in marks if m not in found]
+    reach = {w: {m: n for m in odd if _strange(n := _walk(m, w)) == found[m][1] < found[m][0]} for w in {w for _, _, ends in found.values() for w in ends if w}}
+    spared = lru_cache(maxsize=None)(lambda way: sum(_walk(m, way) == m for m in plain))
+    better = lambda way: (-len(reach[way]), len(way), spared(way), way)
+    mended, used = {}, set()
+    for m, (cost, least, _) in found.items():
+        if least < cost:
+            own = [w for w in reach if m in reach[w]]
+            top = max(len(reach[w]) for w in own)  # only those that lead are compared further
+            way = min((w for w in own if len(reach[w]) == top), key=better)
+            mended[m] = reach[way][m]
+            used.add(way)
+    used = sorted(used, key=better)
+    # marks without cost come along where a path of the page changes them and leaves none
+    for m in plain:
+        if (new := next((n for w in used if (n := _walk(m, w)) != m), m)) != m:
+            mended[m] = new
+    return " | ".join(" ".join(f"{a}>{b}" for a, b in w) for w in used), before, after, after == 0, mended
 
 
 def wrongly_decoded(df: DataFrame, id_col: str = "id", text_col: str = "extracted_text", with_text: bool = False) -> DataFrame:
     """One row for each wrongly decoded text. ``with_text`` adds ``restored_text``."""
-    pages = require(df, id_col, text_col).where(F.col(text_col).rlike(r"[^\x00-\x7f]|&#?\w{2,8};|\\[ux][0-9a-f]{2}"))
+    pages = require(df, id_col, text_col).where(F.col(text_col).rlike(r"[^\x00-\x7f]|&#?\w{2,8};|\\[ux][0-9a-fA-F]{2}"))
 
     def make():
         def run(ids, texts):

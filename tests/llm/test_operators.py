@@ -237,6 +237,30 @@ def test_restores_what_was_wrongly_read(text, really, read):
     assert encoding.restore(wrong, got[4]) == text
 
 
+def test_one_page_in_five_wrong_encodings():
+    parts = zip(("forêt", "pleine", "été", "señaló", "Bürger", "großer", "bahía"), ("cp1252", "cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1252"))
+    got = encoding.diagnose(wrong := " ".join(w.encode().decode(e) for w, e in parts))
+    assert encoding.restore(wrong, got[4]) == "forêt pleine été señaló Bürger großer bahía" and got[3]
+
+
+def test_wrong_four_times_over():
+    wrong = ACCENTED[0]
+    for _ in range(4):
+        wrong = wrong.encode().decode("latin-1")
+    assert encoding.restore(wrong, encoding.diagnose(wrong)[4]) == ACCENTED[0]
+
+
+@pytest.mark.parametrize("wrong", ["un caf&eacute; au lait", "un caf&amp;eacute; au lait", "un caf&#xE9; au lait", r"un caf\u00e9 au lait", r"un caf\xC3\xA9 au lait", r"un caf\xc3\xa9 au lait"])
+def test_escapes_are_found_and_restored(spark, wrong):
+    got = encoding.wrongly_decoded(pages(spark, [(1, 1, 1, wrong), (2, 1, 1, "Smith &amp; Sons, C:\\users")]), with_text=True).collect()
+    assert [(r.result_id, r.restored_text, r.restorable) for r in got] == [(1, "un café au lait", True)]
+
+
+def test_pages_of_other_scripts_end():
+    for text in ("Съешь же ещё этих мягких французских булок " * 9, "ξεσκεπάζω την ψυχοφθόρα βδελυγμία " * 9, "ÃƒÂ©" * 2000, "│├───┼───" * 300):
+        encoding.diagnose(text)
+
+
 def test_twice_wrong_and_lost():
     twice = ACCENTED[1].encode().decode("cp1252", "replace").encode("cp1252", "replace").decode("latin-1")
     assert encoding.diagnose(ACCENTED[0].encode().decode("latin-1").encode().decode("latin-1")) is not None
