@@ -2,14 +2,18 @@
 
 A character editor, an averaged perceptron, predicts for each character of a word keep,
 replace, delete or insert, and for each mark at a line end whether the lines join there. A
-second perceptron tells page furniture from text by page-position features of the first
-and last lines. All three learn from pages whose right paragraphs are known (``gold``): the
-noisy words are aligned with the right ones, and first or last lines that the right text
-lacks are furniture.
-
-Texts are read in one Arrow pass and are never shuffled; only first and last lines (and
-counts) meet the titles of their job. The models, fitted on at most ``MAX_GOLD`` pages, and
-the distinct words of all right paragraphs are what is sent to the executors.
+second perceptron tells page furniture - running heads and page numbers alike - from text
+by features of a page's first and last lines: their form, their place, the lines beside
+them, how often the job's pages show the same line or the same distance between printed
+number and page, and whether they are like a title. All learn from pages whose right
+paragraphs are known (``gold``): noisy words are aligned with the right ones, and first or
+last lines that the right text lacks are furniture. Rows of lists and tables and their own
+headings, which stand on no such page, are added as text.
+
+Texts are read in Arrow passes; only first and last lines (and counts) meet the titles of
+their job. For :func:`repair` the lines to drop go to the pages as one small row a page,
+broadcast up to ``BROADCAST_ROWS``. The models are fitted on at most ``MAX_GOLD`` pages; they
+and the distinct words of all right paragraphs are what is sent to the executors.
 
 Null and blank texts and rows without job or page have no noise. A page that stands twice
 in a table is one case. Wrongly decoded words are left alone.
@@ -18,6 +22,7 @@ in a table is one case. Wrongly decoded words are left alone.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
@@ -28,27 +33,29 @@ from foliospark.session import cut
 
 from .base import BREAK_MARKS, map_batches, require
 from .encoding import mark_cost
-from .textstats import CELLS, MARKED
+from .textstats import CELLS, FEW_READABLE, MARKED, readable_share
 
 MAX_GOLD = 3000
 #: Pages with known paragraphs on which a word must stand to count as known without them.
 OFTEN = 5
-EPOCHS = 4
+EPOCHS, LINE_EPOCHS = 4, 20
 #: Misread words from which a page counts as misread.
 MIN_MISREAD = 3
 #: Share of a page's words that must be known for its unknown words to be misread ones.
 MIN_KNOWN = 0.35
-#: Longest first or last line that can be furniture.
-HEAD_CHARS = 110
+#: Pages with furniture up to which their rows are broadcast (about 40 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 EDGE = ".,;:!?…'’‘”“„«»()[]\"—–*/|│¿¡ "
-NUMBER = r"(?:\d{1,4}|(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
+NUMBER = r"(?:\d+|(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
 #: Forms of a printed page number, alone or in the line of a running head (fixed values).
 NUMBER_LINE = re.compile(rf"^\s*(?:[-—–\[(]\s*)?(?:(?:page|p\.|seite|s\.|página|pág\.|pagina|folio|f\.)\s*)?{NUMBER}\s*(?:[-—–\])]|\.)?\s*$", re.I)
 NUMBER_BEFORE = re.compile(rf"^\s*[\[(—–-]?\s*(?:page |seite |página |p\. )?{NUMBER}\s*[\])—–.-]?(?:\s{{2,}}|\t)(?=\S)", re.I)
 NUMBER_AFTER = re.compile(rf"(?<=\S)(?:\s{{2,}}|\t)[\[(—–-]?\s*(?:page |seite |página |p\. )?{NUMBER}\s*[\])—–.-]?\s*$", re.I)
 YEAR_END = re.compile(r"^\s*\d{4}\.\s*$")
+VALUE = re.compile(rf"(?<![^\W_]){NUMBER}(?![^\W_])", re.I)
 SENTENCE_END = ".!?:;”\"…)|│"
+ROMANS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 PREFIX = re.compile(r"^\s*[^\W\d_]{2,9}\.?\s+(?:[ivxlc]+|\d+)\s*[.:]\s+", re.I)
 BREAK = re.compile(rf"([^\W\d_]+)([{BREAK_MARKS}])[ \t]*\n\s*([^\W\d_]+)")
 LETTERS = re.compile(r"[^\W\d_]")
@@ -232,6 +239,17 @@ class Editor:
                     return True
         return False
 
+    def mended(self, text: str) -> str:
+        """The text with its misread words as the editor writes them; blanks become one."""
+        out = []
+        for w in text.split():
+            core = w.strip(EDGE)
+            if core and core not in self.known and self.misread(core):
+                new = "".join(p if p in "-'’‐" else self.word(p) for p in re.split("([-'’‐])", core.lower()) if p)
+                w = w.replace(core, new.upper() if core.isupper() and len(core) > 1 else new[:1].upper() + new[1:] if core[:1].isupper() else new)
+            out.append(w)
+        return " ".join(out)
+
     def join_features(self, left: str, mark: str, right: str) -> list[str]:
         a, b = left.lower(), right.lower()
         joined, compound = self.word(a + b) in self.known, f"{a}-{b}" in self.known
@@ -261,63 +279,98 @@ def _plain(line: str) -> str:
     return " ".join(re.findall(r"[^\W\d_]+", PREFIX.sub("", t).lower()))
 
 
-def line_features(line: str, place: str, repeats: int, title: float, chapter: float, beside_blank: bool) -> list[str]:
+def _value(line: str) -> int | None:
+    """The number of a line that is one, roman or not."""
+    found = VALUE.search(line)
+    if not found:
+        return None
+    n = found[0].lower()
+    if n.isdigit():
+        return int(n) if len(n) < 10 else None
+    v = [ROMANS[c] for c in n]
+    return sum(-x if x < y else x for x, y in zip(v, [*v[1:], 0]))
+
+
+def _form(line: str) -> str:
+    core = line.strip()
+    return "cells" if CELLS.search(line) else "marked" if MARKED.match(core) else "short" if core[-1:] not in ".!?:;,-" and len(core.split()) <= 5 else "upper" if core.isupper() else "prose"
+
+
+def line_features(line: str, place: str, beside: str, repeats: int, title: float, chapter: float) -> list[str]:
+    """``beside``: what :func:`_ends` says about the lines around."""
     core = line.strip()
     body = NUMBER_AFTER.sub("", NUMBER_BEFORE.sub("", core)).strip()
     words = len(body.split())
     number = bool(NUMBER_LINE.match(core))
+    blank, inner, after, form, wide = beside.split(",")
     fact = {
         "number": number,
+        "year": bool(YEAR_END.match(core)) and after != "end",
         "attached": len(body) < len(core) and not number,
         "prefix": bool(PREFIX.match(body)),
         "dot": " · " in body,
+        "heading": core[:1] == "#",
         "upper": body.isupper() and words > 1,
         "lower_start": body[:1].islower() and body != body.lower(),
-        "sentence": core[-1:] in ".!?:;,”\"" and not number,
-        "short": words <= 9,
-        "one": words == 1,
-        "title": title >= 0.8,
-        "chapter": chapter >= 0.8,
+        "sentence": body[-1:] in ".!?,;" and not number,
+        "hyphen": body[-1:] in BREAK_MARKS and not number,
+        "words": "1" if words < 2 else "2" if words < 4 else "4" if words < 10 else "10" if words < 17 else "17",
+        "named": "title" if title >= 0.8 else "chapter" if chapter >= 0.8 else "no",
         "repeats": "1" if repeats < 2 else "2" if repeats < 4 else "4",
-        "blank": beside_blank,
+        "own": "odd" if readable_share(body, {}) < FEW_READABLE and not number else "cells" if CELLS.search(body) else "marked" if MARKED.match(body) else "no",
+        "blank": blank,
         "place": place,
+        "inner": inner,
+        "after": after,
+        "beside": form,
+        "wide": wide,
     }
     f = [f"{k}={v}" for k, v in fact.items()]
-    f += [f"{a}&{b}={fact[a]}{fact[b]}" for a, b in (("repeats", "short"), ("repeats", "sentence"), ("title", "upper"), ("short", "sentence"), ("blank", "short"), ("place", "sentence"), ("chapter", "repeats"), ("one", "repeats"), ("upper", "sentence"), ("attached", "sentence"))]
+    both = (
+        ("repeats", "words"), ("repeats", "sentence"), ("named", "words"), ("words", "sentence"), ("blank", "words"), ("place", "sentence"), ("place", "words"),
+        ("upper", "sentence"), ("attached", "sentence"), ("attached", "own"), ("number", "year"), ("number", "repeats"), ("number", "after"), ("beside", "repeats"),
+        ("beside", "words"), ("inner", "named"), ("inner", "repeats"), ("own", "number"), ("own", "repeats"), ("own", "words"),
+        ("named", "sentence"), ("upper", "words"), ("upper", "repeats"), ("upper", "beside"), ("attached", "beside"), ("prefix", "beside"), ("dot", "beside"), ("named", "beside"), ("wide", "sentence"), ("prefix", "sentence"), ("dot", "sentence"), ("heading", "words"),
+        ("upper", "place", "beside"), ("place", "beside", "sentence"), ("place", "words", "sentence"), ("upper", "words", "sentence"), ("wide", "words", "sentence"), ("after", "words", "sentence"), ("lower_start", "words", "sentence"),
+    )
+    f += [f"{'&'.join(k)}={','.join(str(fact[x]) for x in k)}" for k in both]
     return [*f, "bias"]
 
 
-def _number_line(lines: list[str], at: list[int], k: int) -> bool:
-    """Whether the ``k``-th written line is a page number of its own. The last word of
-    unfinished prose, a year with its full stop, is none."""
-    line = lines[at[k]]
-    if not NUMBER_LINE.match(line):
-        return False
-    if k and YEAR_END.match(line) and at[k] - at[k - 1] == 1:
-        before = lines[at[k - 1]].strip()
-        return before[-1] in SENTENCE_END or " · " in before
-    return True
-
-
-def _ends(text: str) -> list[tuple[str, str, bool]]:
-    """(place, line, whether a blank line parts it from the text) of the first and last lines:
-    a page number of its own, and the line that is first or last apart from it."""
+def _ends(text: str) -> list[tuple[str, str, str]]:
+    """(place, line, beside) of the first and last lines, and of the lines next to them where
+    those have the form of a page number. ``beside``: whether a blank line parts it from the
+    text, whether it is an inner one, how the text next to it ends or begins, the form of the
+    line next to it, and how wide it is against the widest line of the page."""
     lines = text.split("\n")
     at = [i for i, x in enumerate(lines) if x.strip()]
     if not at:
         return []
-    n, out = len(at), []
-    a = 1 if _number_line(lines, at, 0) else 0
-    z = n - 2 if n > 1 and _number_line(lines, at, n - 1) else n - 1
-    if a:
-        out.append(("first", lines[at[0]], True))
-    if z == n - 2:
-        out.append(("last", lines[at[-1]], True))
-    if a <= z:
-        out.append(("first", lines[at[a]], a < z and at[a + 1] - at[a] > 1))
-    if a < z:
-        out.append(("last", lines[at[z]], at[z] - at[z - 1] > 1))
-    return [x for x in out if len(x[1].strip()) <= HEAD_CHARS and not (YEAR_END.match(x[1]) and not x[2])]
+    n, widest = len(at), max(len(lines[i].rstrip()) for i in at)
+    picked = [(0, "first", False), (n - 1, "last", False)]
+    if NUMBER_LINE.match(lines[at[0]]):
+        picked.append((1, "first", True))
+    if NUMBER_LINE.match(lines[at[-1]]):
+        picked.append((n - 2, "last", True))
+    out, seen = [], set()
+    for k, place, inner in picked:
+        if not 0 <= k < n or k in seen:
+            continue
+        seen.add(k)
+        near = k + 1 if place == "first" else k - 1
+        if not 0 <= near < n:
+            blank, after, form = "alone", "none", "none"
+        else:
+            other = lines[at[near]].strip()
+            blank = str(abs(at[k] - at[near]) > 1)
+            form = _form(lines[at[near]])
+            if place == "first":
+                after = "lower" if other[:1].islower() else "start"
+            else:
+                after = "end" if other[-1] in SENTENCE_END or " · " in other else "open"
+        share = len(lines[at[k]].strip()) / widest
+        out.append((place, lines[at[k]], f"{blank},{inner},{after},{form},{'full' if share > 0.8 else 'half' if share > 0.5 else 'part'}"))
+    return out
 
 
 def _alike(plain: str, title: str) -> float:
@@ -332,51 +385,57 @@ def _alike(plain: str, title: str) -> float:
     return ratio if ratio >= 0.85 else 0.0
 
 
-def head_candidates(pages: DataFrame) -> DataFrame:
-    """First and last lines: ``table_name, job_id, page, place, line, plain, blank``."""
+def head_candidates(pages: DataFrame, editor: Editor) -> DataFrame:
+    """First and last lines: ``table_name, job_id, page, place, line, plain, beside``. ``plain``
+    has misread words mended; that of a page number is its distance from the page."""
+    shared = pages.sparkSession.sparkContext.broadcast(editor)
 
     def make():
+        ed = shared.value
+
+        def plain(line, page):
+            if NUMBER_LINE.match(line):
+                return "" if (v := _value(line)) is None else f"#{v - page}"
+            return _plain(ed.mended(line))
+
         def run(names, jobs, numbers, texts):
-            return [(n, j, p, place, line, _plain(line), blank) for n, j, p, t in zip(names, jobs, numbers, texts) for place, line, blank in _ends(t)]
+            return [(n, j, p, place, line, plain(line, p), beside) for n, j, p, t in zip(names, jobs, numbers, texts) for place, line, beside in _ends(t)]
 
         return run
 
-    return map_batches(pages, make, "table_name string, job_id bigint, page int, place string, line string, plain string, blank boolean")
+    return map_batches(pages, make, "table_name string, job_id bigint, page int, place string, line string, plain string, beside string")
 
 
-def with_job(heads: DataFrame, jobs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Adds the titles of the job and on how many of its pages a line stands at that place."""
-    name = F.regexp_replace(F.regexp_replace(F.lower("filename"), r"^.*/|\.[a-z]+$", ""), r"[^\p{L}]+", " ")
-    jobs, paragraphs = require(jobs, "id", "filename"), require(paragraphs, "job_id", "chapter_title")
-    title = jobs.where("id is not null").groupBy(F.col("id").alias("job_id")).agg(F.first(F.trim(name), True).alias("title"))
+def job_lines(heads: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``job_id, plain, repeats, chapter`` of the lines that several pages of a job show, or that
+    are titles of its chapters. Lines that stand once, nearly all of them, have no row."""
+    paragraphs = require(paragraphs, "job_id", "chapter_title")
     plain = F.trim(F.regexp_replace(F.lower("chapter_title"), r"[^\p{L}]+", " "))
     chapters = paragraphs.where("chapter_title is not null and job_id is not null").groupBy("job_id", plain.alias("plain")).agg(F.lit(1.0).alias("chapter"))
     # counts of job and line first, each distinct page once, so that no hot job is in one task
     repeats = (
         heads.where("plain <> ''").groupBy("job_id", "plain", "page").agg(F.lit(1))
-        .groupBy("job_id", "plain").agg(F.count("*").cast("int").alias("repeats"))
+        .groupBy("job_id", "plain").agg(F.count("*").cast("int").alias("repeats")).where("repeats > 1")
     )
-    lines = repeats.join(chapters, ["job_id", "plain"], "left").join(title, "job_id", "left")
-    return heads.join(lines, ["job_id", "plain"], "left").select(
-        "table_name", "job_id", "page", "place", "line", "plain", "blank", F.coalesce("repeats", F.lit(1)).alias("repeats"), "title", F.coalesce("chapter", F.lit(0.0)).alias("chapter")
+    return repeats.join(chapters, ["job_id", "plain"], "full")
+
+
+def with_job(heads: DataFrame, lines: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Adds the title of the job, and on how many of its pages a line stands."""
+    name = F.regexp_replace(F.regexp_replace(F.lower("filename"), r"^.*/|\.[a-z]+$", ""), r"[^\p{L}]+", " ")
+    title = require(jobs, "id", "filename").where("id is not null").groupBy(F.col("id").alias("job_id")).agg(F.first(F.trim(name), True).alias("title"))
+    return heads.join(lines, ["job_id", "plain"], "left").join(title, "job_id", "left").select(
+        "table_name", "job_id", "page", "place", "line", "plain", "beside", F.coalesce("repeats", F.lit(1)).alias("repeats"), "title", F.coalesce("chapter", F.lit(0.0)).alias("chapter")
     )
 
 
-def _features_of(place, line, plain, blank, repeats, title, chapter) -> list[str]:
-    return line_features(line, place, repeats, _alike(plain, title or ""), chapter, blank)
+def _features_of(place, line, plain, beside, repeats, title, chapter) -> list[str]:
+    return line_features(line, place, beside, repeats, _alike(plain, title or ""), chapter)
 
 
-def is_head(model: Perceptron, place, line, plain, blank, repeats, title, chapter) -> bool:
-    """Whether a line is furniture with a title: by the model, and by what makes a title one
-    of the job's - its name, its place in the chapter's line, or its return on other pages."""
-    core = line.strip()
-    body = NUMBER_AFTER.sub("", NUMBER_BEFORE.sub("", core)).strip()
-    if not plain or MARKED.match(body) or CELLS.search(body) or (body[-1:] in ".!?,;" and not PREFIX.match(body)):
-        return False
-    words = len(plain.split())
-    named = chapter >= 0.8 or _alike(plain, title or "") >= 0.8
-    evidence = named or PREFIX.match(body) or " · " in body or (words > 1 and (repeats > 1 or len(body) < len(core) or (body.isupper() and words <= 9)))
-    return bool(evidence) and words <= 16 and model.best(_features_of(place, line, plain, blank, repeats, title, chapter), ["text", "furniture"])[0] == "furniture"
+def is_furniture(model: Perceptron, *fact) -> bool:
+    """Whether a first or last line, as :func:`with_job` gives it, is page furniture."""
+    return model.best(_features_of(*fact), ["text", "furniture"])[0] == "furniture"
 
 
 def align(noisy: str, right: str) -> tuple[Counter, list[tuple[str, str, str, bool]]]:
@@ -416,14 +475,15 @@ def right_words(gold: DataFrame) -> set[str]:
     return {r.word for r in map_batches(own, make, "word string").distinct().collect()}
 
 
-def fit(gold: DataFrame, pages: DataFrame, jobs: DataFrame, paragraphs: DataFrame) -> Editor:
-    """Train on at most ``MAX_GOLD`` pages with known paragraphs, lowest hash first; the words
-    known to be right are those of all known paragraphs."""
+def fit(gold: DataFrame, pages: DataFrame) -> tuple[Editor, dict[str, str]]:
+    """The editor, trained on at most ``MAX_GOLD`` pages with known paragraphs, lowest hash
+    first, and the right texts of those. The words known to be right are those of all known
+    paragraphs."""
     own = require(gold, "page_id", "para_no", "text").where("page_id is not null and text is not null")
     own = own.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda x: x["text"]), "\n").alias("right"))
     own = own.orderBy(F.xxhash64("page_id"), "page_id").limit(MAX_GOLD)
     keyed = pages.withColumn("page_id", F.concat_ws("/", F.col("job_id").cast("string"), F.col("page").cast("string")))
-    both = cut(keyed.join(F.broadcast(own), "page_id").dropDuplicates(["table_name", "page_id", "text"]))
+    both = keyed.join(F.broadcast(own), "page_id").dropDuplicates(["table_name", "page_id", "text"])
     rows = both.select("table_name", "page_id", "text", "right").orderBy("page_id", "table_name", "text").collect()  # at most two tables' rows of MAX_GOLD pages
     pairs, marks, known = Counter(), [], right_words(gold)
     rights = {}
@@ -443,22 +503,49 @@ def fit(gold: DataFrame, pages: DataFrame, jobs: DataFrame, paragraphs: DataFram
         for a, mark, b, joins in marks:
             editor.joins.learn(editor.join_features(a, mark, b), ["part", "join"], "join" if joins else "part")
     editor.joins.average()
-    heads = with_job(head_candidates(both.select("table_name", "job_id", "page", "text")), jobs, paragraphs)
+    return editor, rights
+
+
+def line_label(line: str, place: str, inner: bool, titled: bool, right: str) -> str | None:
+    """``furniture`` where the right text lacks the line, else ``text``. Last lines, and lines
+    beside a page number, may be notices unless they are titled: None, nothing is learnt."""
+    words = [w.lower() for w in _cores(line)]
+    if NUMBER_LINE.match(line):
+        ends = [w.lower() for w in _cores(right)]
+        mine = ends[: len(words)] if place == "first" else ends[len(ends) - len(words) :]
+        return "text" if words and mine == words else "furniture"
+    text = set(map(str.lower, _cores(right)))
+    inside = sum(w in text for w in words)
+    flat, flat_line = "".join(re.findall(r"\w", right.lower())), "".join(re.findall(r"\w", line.lower()))
+    if flat_line in flat or inside >= 0.75 * len(words):
+        return "text"
+    return None if mark_cost(line) or ((inner or place == "last") and not titled) else "furniture"
+
+
+def fit_lines(heads: DataFrame, lines: DataFrame, jobs: DataFrame, rights: dict[str, str]) -> Perceptron:
+    """The model of page furniture, from the lines of the pages in ``rights`` and from as many
+    lines of lists, tables, marked headings and signs, lowest hash first."""
+    spark, model = heads.sparkSession, Perceptron()
+    wanted = spark.createDataFrame([(k,) for k in sorted(rights)], "page_id string")
+    page_id = F.concat_ws("/", F.col("job_id").cast("string"), F.col("page").cast("string"))
+    known = heads.join(F.broadcast(wanted), page_id == wanted["page_id"], "left_semi")
+    # rows of cells or entries, headings marked as such, and lines of signs
+    rows = (F.col("beside").rlike(",(cells|marked),[a-z]+$") | F.col("line").rlike(r"^\s*#") | ~F.col("line").rlike(r"[aeiouAEIOU][\p{L}]|[\p{L}][aeiouAEIOU]")) & ~F.col("plain").startswith("#")
+    other = heads.where(rows).orderBy(F.xxhash64("job_id", "page", "line"), "job_id", "page", "table_name", "place", "line").limit(MAX_GOLD)
     data = []
-    for r in heads.orderBy("job_id", "page", "table_name", "place", "line").collect():
-        right = rights.get(f"{r.job_id}/{r.page}")
-        if right:
-            text = set(map(str.lower, _cores(right)))
-            words = [w.lower() for w in _cores(r.line)]
-            inside = sum(w in text for w in words)
-            flat, line = "".join(re.findall(r"\w", right.lower())), "".join(re.findall(r"\w", r.line.lower()))
-            furniture = line not in flat and inside < 0.75 * len(words)
-            data.append((_features_of(r.place, r.line, r.plain, r.blank, r.repeats, r.title, r.chapter), "furniture" if furniture else "text"))
-    for _ in range(EPOCHS):
+    for r in with_job(known, lines, jobs).orderBy("job_id", "page", "table_name", "place", "line").collect():
+        titled = bool(r.chapter) or _alike(r.plain, r.title or "") >= 0.8 or " · " in r.line
+        if label := line_label(r.line, r.place, r.beside.split(",")[1] == "True", titled, rights[f"{r.job_id}/{r.page}"]):
+            data.append((_features_of(*r[3:]), label))
+    for r in with_job(other, lines, jobs).orderBy("job_id", "page", "table_name", "place", "line").collect():
+        # a line that returns is left out, unless it is a row itself
+        if r.repeats == 1 or CELLS.search(r.line) or MARKED.match(r.line.strip()):
+            data.append((_features_of(*r[3:]), "text"))
+    for _ in range(LINE_EPOCHS):
         for f, label in data:
-            editor.lines.learn(f, ["text", "furniture"], label)
-    editor.lines.average()
-    return editor
+            model.learn(f, ["text", "furniture"], label)
+    model.average()
+    return model
 
 
 def all_pages(results: DataFrame, engine_pages: DataFrame) -> DataFrame:
@@ -514,92 +601,76 @@ def word_noise(pages: DataFrame, editor: Editor) -> DataFrame:
     return map_batches(pages, make, "table_name string, job_id bigint, page int, kind string")
 
 
-def furniture(heads: DataFrame, editor: Editor) -> DataFrame:
-    """Running heads and page numbers among first and last lines with their job's titles."""
-    shared = heads.sparkSession.sparkContext.broadcast(editor.lines)
+def _mark(line: str) -> int:
+    return zlib.crc32(line.encode("utf-8", "surrogatepass"))
+
+
+def furniture(heads: DataFrame, model: Perceptron) -> DataFrame:
+    """Running heads and page numbers among first and last lines with their job's titles:
+    ``table_name, job_id, page, kind, mark``; ``mark`` stands for the line."""
+    shared = heads.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
 
-        def run(names, jobs, numbers, places, lines, plains, blanks, repeats, titles, chapters):
+        def run(names, jobs, numbers, *facts):
             rows = []
-            for n, j, p, place, line, plain, blank, rep, title, own in zip(names, jobs, numbers, places, lines, plains, blanks, repeats, titles, chapters):
-                if NUMBER_LINE.match(line):
-                    rows.append((n, j, p, "page_number"))
-                elif is_head(model, place, line, plain, blank, rep, title, own):
-                    rows.append((n, j, p, "running_head"))
-                    if NUMBER_BEFORE.match(line) or NUMBER_AFTER.search(line):
-                        rows.append((n, j, p, "page_number"))
+            for n, j, p, *fact in zip(names, jobs, numbers, *facts):
+                if is_furniture(model, *fact):
+                    line = fact[1]
+                    number = NUMBER_LINE.match(line)
+                    rows.append((n, j, p, "page_number" if number else "running_head", _mark(line)))
+                    if not number and (NUMBER_BEFORE.match(line) or NUMBER_AFTER.search(line)):
+                        rows.append((n, j, p, "page_number", _mark(line)))
             return rows
 
         return run
 
-    return map_batches(heads, make, "table_name string, job_id bigint, page int, kind string")
+    return map_batches(heads, make, "table_name string, job_id bigint, page int, kind string, mark bigint")
+
+
+def _scanned(results, engine_pages, jobs, paragraphs, gold) -> tuple[DataFrame, Editor, DataFrame]:
+    """Pages, editor, and the furniture on the pages."""
+    pages = all_pages(results, engine_pages)
+    editor, rights = fit(gold, pages)
+    heads = cut(head_candidates(pages, editor))
+    lines = cut(job_lines(heads, paragraphs))
+    return pages, editor, furniture(with_job(heads, lines, jobs), fit_lines(heads, lines, jobs, rights))
 
 
 def noise(results: DataFrame, engine_pages: DataFrame, jobs: DataFrame, paragraphs: DataFrame, gold: DataFrame) -> DataFrame:
     """Each page and kind of noise on it, once."""
-    pages = all_pages(results, engine_pages)
-    editor = fit(gold, pages, jobs, paragraphs)
-    heads = with_job(cut(head_candidates(pages)), jobs, paragraphs)
-    return word_noise(pages, editor).unionByName(furniture(heads, editor)).dropDuplicates(["table_name", "job_id", "page", "kind"])
+    pages, editor, found = _scanned(results, engine_pages, jobs, paragraphs, gold)
+    return word_noise(pages, editor).unionByName(found.drop("mark")).dropDuplicates(["table_name", "job_id", "page", "kind"])
 
 
-def _repaired(text: str, ed: Editor, drop: set[str]) -> list[str]:
-    """Continuous paragraphs: without the lines in ``drop``, joined, words mended."""
+def _repaired(text: str, ed: Editor, drop: set[int]) -> list[str]:
+    """Continuous paragraphs: without the first and last lines whose marks are in ``drop``, joined, words mended."""
     lines = text.split("\n")
     at = [i for i, x in enumerate(lines) if x.strip()]
     for i in {*at[:2], *at[-2:]}:
-        if lines[i] in drop:
+        if _mark(lines[i]) in drop:
             lines[i] = ""
     body = "\n".join(lines)
     body = BREAK.sub(lambda m: m[1] + m[3] if ed.joins_here(m[1], m[2], m[3]) else m[0].replace("\n", ""), body)
 
-    def mended(m: re.Match) -> str:
-        w = m[0]
-        core = w.strip(EDGE)
-        if not core or not ed.misread(core):
-            return w
-        new = "".join(p if p in "-'’‐" else ed.word(p) for p in re.split("([-'’‐])", core.lower()) if p)
-        return w.replace(core, new.upper() if core.isupper() and len(core) > 1 else new[:1].upper() + new[1:] if core[:1].isupper() else new)
-
-    out = []
-    for para in re.split(r"\n[ \t]*\n|\n(?= {2,}\S)", body):
-        flat = " ".join(para.split())
-        if flat:
-            out.append(re.sub(r"\S+", mended, flat))
-    return out
+    return [m for para in re.split(r"\n[ \t]*\n|\n(?= {2,}\S)", body) if (m := ed.mended(para))]
 
 
 def repair(results: DataFrame, engine_pages: DataFrame, jobs: DataFrame, paragraphs: DataFrame, gold: DataFrame) -> DataFrame:
     """``table_name, job_id, page, para_no, text``: every page as continuous paragraphs."""
-    pages = all_pages(results, engine_pages)
-    editor = fit(gold, pages, jobs, paragraphs)
-    heads = with_job(cut(head_candidates(pages)), jobs, paragraphs)
+    pages, editor, found = _scanned(results, engine_pages, jobs, paragraphs, gold)
     shared = pages.sparkSession.sparkContext.broadcast(editor)
-
-    def lines_out():
-        model = shared.value.lines
-
-        def run(names, jobs_, numbers, places, lines, plains, blanks, repeats, titles, chapters):
-            rows = []
-            for n, j, p, place, line, plain, blank, rep, title, own in zip(names, jobs_, numbers, places, lines, plains, blanks, repeats, titles, chapters):
-                if NUMBER_LINE.match(line) or is_head(model, place, line, plain, blank, rep, title, own):
-                    rows.append((n, j, p, line))
-            return rows
-
-        return run
-
-    drop = map_batches(heads, lines_out, "table_name string, job_id bigint, page int, line string")
-    drop = drop.groupBy("table_name", "job_id", "page").agg(F.collect_set("line").alias("lines"))
-    both = pages.join(drop, ["table_name", "job_id", "page"], "left")
+    drop = cut(found.groupBy("table_name", "job_id", "page").agg(F.collect_set("mark").alias("marks")))
+    # the texts stay where they are as long as the rows of the pages with furniture may be sent to them
+    both = pages.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, ["table_name", "job_id", "page"], "left")
 
     def make():
         ed = shared.value
 
-        def run(names, jobs_, numbers, texts, lines):
+        def run(names, jobs_, numbers, texts, marks):
             rows = []
-            for n, j, p, t, d in zip(names, jobs_, numbers, texts, lines):
+            for n, j, p, t, d in zip(names, jobs_, numbers, texts, marks):
                 rows += [(n, j, p, k + 1, x) for k, x in enumerate(_repaired(t, ed, set(d or ())))]
             return rows
 

@@ -214,7 +214,7 @@ def test_words_of_all_right_paragraphs_are_known(spark, monkeypatch):
     jobs = spark.createDataFrame([], "id bigint, filename string")
     books = spark.createDataFrame([], "job_id bigint, chapter_title string")
     gold = spark.createDataFrame([(f"7/{k}", 1, f"The {w} stood there.") for k, w in enumerate(words)], "page_id string, para_no int, text string")
-    known = scannoise.fit(gold, scannoise.all_pages(res, engine), jobs, books).known
+    known = scannoise.fit(gold, scannoise.all_pages(res, engine))[0].known
     assert {*words, "the", "well", "kept"} <= known
 
 
