@@ -1,15 +1,16 @@
 """Problem 8: evaluation texts that stand, wholly or partly, in a training corpus.
 
 Wu-Manber multi-pattern search with words as symbols. Every run of ``RUN`` words of a
-test item is a pattern. A block of two words looks up how far the window may move (the
-shift table); where it may not move, the bucket of that suffix names the patterns, and a
-direct comparison confirms one. Confirmed runs that lie on about one diagonal are then
-aligned word by word, so that misread words, another spelling of accented letters, page
-furniture and wrapped lines don't hide a leak.
+test item is a pattern (of fewer words where half the item has fewer). A block of two words
+looks up how far the window may move (the shift table); where it may not move, the bucket
+of that suffix names the patterns, and a direct comparison confirms one. Confirmed runs that
+lie on about one diagonal are then aligned word by word, so that misread words, another
+spelling of accented letters, page furniture and wrapped lines don't hide a leak.
 
-Both sides are folded first (:func:`foliospark.llm.base.fold`). The patterns are sent to
-the executors in blocks of at most ``ITEMS_PER_BLOCK`` items, so what is broadcast has a
-bound however many items there are; the documents are never shuffled.
+Both sides are folded first (:func:`foliospark.llm.base.fold`). One set of tables holds all
+items, so the documents are read once and never shuffled. Its size is bounded in words
+(``PASS_WORDS``, about 200 bytes each in a Python worker), measured before; only more items
+than that, some twenty thousand of fifty words, are searched in further passes.
 
 Null or empty items and documents give no rows. An item or document that is there twice
 under two ids gives its pairs for both ids; wholly repeated rows give one row.
@@ -17,15 +18,19 @@ under two ids gives its pairs for both ids; wholly repeated rows give one row.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from difflib import SequenceMatcher
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.session import cut
+
 from .base import fold_words, map_batches, require
 
 RUN = 4
-ITEMS_PER_BLOCK = 2000
+PASS_WORDS = 1_000_000
 #: Share of an item's words that must stand together in the document.
 MIN_SHARE = 0.5
 #: Words of the document that furniture may put between two parts of one passage.
@@ -43,35 +48,61 @@ PAIRS = "item_id bigint, doc_id bigint, item_words int, stretch_words int, match
 
 
 class WuManber:
-    """Shift table, suffix buckets and direct comparison over runs of ``run`` words."""
-
-    def __init__(self, items: dict[int, list[str]], run: int = RUN):
-        self.run, self.shift, self.bucket = run, {}, {}
-        longest = run - 1  # how far a window moves where no pattern has the block
-        for item, words in items.items():
-            for i in range(len(words) - run + 1):
-                pattern = tuple(words[i : i + run])
+    """Shift tables with suffix buckets, one for each length of patterns, over runs of words of
+    all items. Words are numbered, so that a block of two is one number."""
+
+    def __init__(self, items: list[list[str]], runs: list[int]):
+        self.numbers: dict[str, int] = {}
+        self.flat: list[int] = []
+        self.starts: list[int] = []
+        for words in items:
+            self.starts.append(len(self.flat))
+            self.flat += [self.numbers.setdefault(w, len(self.numbers)) for w in words]
+        self.base = len(self.numbers)
+        self.tables: dict[int, dict] = {}
+        for words, start, run in zip(items, self.starts, runs):
+            table = self.tables.setdefault(run, {})
+            for i in range(start, start + len(words) - run + 1):
+                pattern = self.flat[i : i + run]
+                if run == 1:
+                    table[pattern[0]] = (*table.get(pattern[0], ()), i)
+                    continue
                 for k in range(1, run):
-                    block = (pattern[k - 1], pattern[k])
-                    self.shift[block] = min(self.shift.get(block, longest), run - 1 - k)
-                self.bucket.setdefault(pattern[-2:], {}).setdefault(pattern, []).append((item, i))
+                    block, move = pattern[k - 1] * self.base + pattern[k], run - 1 - k
+                    old = table.get(block)
+                    if not move:  # the bucket of patterns that end so
+                        table[block] = (*old, i) if type(old) is tuple else (i,)
+                    elif old is None or (type(old) is int and old > move):
+                        table[block] = move
 
     def search(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """item -> [(position in the item, position in ``words``)] of confirmed runs."""
         hits: dict[int, list[tuple[int, int]]] = {}
-        run, shift, bucket, longest = self.run, self.shift, self.bucket, self.run - 1
-        at, n = run - 1, len(words)
-        while at < n:
-            block = (words[at - 1], words[at])
-            step = shift.get(block, longest)
-            if step:
-                at += step
-                continue
-            found = bucket[block].get(tuple(words[at - run + 1 : at + 1]))
-            if found:
-                for item, i in found:
-                    hits.setdefault(item, []).append((i, at - run + 1))
-            at += 1
+        number = self.numbers.get
+        doc = [number(w, -1) for w in words]
+        flat, starts, base, n = self.flat, self.starts, self.base, len(doc)
+        for run, table in self.tables.items():
+            look, longest, at = table.get, run - 1, run - 1
+            while at < n:
+                b = doc[at]
+                if b < 0:  # no pattern holds the word, so none that reaches over it can stand here
+                    at += run
+                    continue
+                if run == 1:
+                    found = look(b, ())
+                else:
+                    a = doc[at - 1]
+                    found = look(a * base + b, longest) if a >= 0 else longest
+                    if type(found) is int:
+                        at += found
+                        continue
+                first = at - run + 1
+                window = doc[first : at + 1]
+                for i in found:
+                    if flat[i : i + run] == window:
+                        item = bisect_right(starts, i) - 1
+                        hits.setdefault(item, []).append((i - starts[item], first))
+                at += 1
         return hits
 
 
@@ -141,46 +172,43 @@ def stretch(item: list[str], doc: list[str], hits: list[tuple[int, int]]) -> tup
     return best
 
 
-def leaks(items: DataFrame, docs: DataFrame, min_share: float = MIN_SHARE, block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def leaks(items: DataFrame, docs: DataFrame, min_share: float = MIN_SHARE, pass_words: int = PASS_WORDS) -> DataFrame:
     """Pairs (item_id, doc_id) with the length of the longest shared stretch, where it has
     at least ``min_share`` of the item's words. Needs ``item_id, text`` and ``doc_id, text``."""
     spark = docs.sparkSession
     items = require(items, "item_id", "text").where("item_id is not null and text is not null")
     docs = require(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // block))
+    folded = map_batches(items, lambda: lambda ids, texts: [(i, " ".join(w), len(w)) for i, t in zip(ids, texts) if (w := fold_words(t))], "item_id bigint, words string, n bigint")
+    folded = cut(folded)
+    passes = max(1, -(-(folded.agg(F.sum("n")).first()[0] or 0) // pass_words))
     out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        words = {r.item_id: fold_words(r.text) for r in part.toLocalIterator()}
-        shared = spark.sparkContext.broadcast({i: w for i, w in words.items() if w})
+    for k in range(passes):
+        part = folded.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k) if passes > 1 else folded
+        # at most about ``pass_words`` words
+        shared = spark.sparkContext.broadcast([(r.item_id, r.words) for r in part.toLocalIterator()])
         found = map_batches(docs, _finder(shared, min_share), PAIRS)
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["item_id", "doc_id"])
+    best = F.max(F.struct("stretch_words", "matched_words", "item_words")).alias("b")
+    return out.groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", "b.item_words", "b.stretch_words", "b.matched_words")
 
 
 def _finder(shared, min_share: float):
     def make():
-        items = shared.value
-        searcher = WuManber(items)
-        # an item shorter than a run is searched for as a whole
-        short = {i: w for i, w in items.items() if len(w) < RUN}
+        items = [(i, w.split()) for i, w in shared.value]
+        searcher = WuManber([w for _, w in items], [min(RUN, max(1, ceil(len(w) * min_share))) for _, w in items])
 
         def run(ids, texts):
             rows = []
             for doc_id, text in zip(ids, texts):
                 words = fold_words(text)
-                for item, hits in searcher.search(words).items():
-                    own = items[item]
+                for k, hits in searcher.search(words).items():
+                    item, own = items[k]
                     near = _together(hits, max(1, int(len(own) * min_share * MIN_RUNS)))
                     if not near:
                         continue
                     length, got = stretch(own, words, near)
                     if length >= min_share * len(own) and got >= MIN_FOUND * min_share * len(own):
                         rows.append((item, doc_id, len(own), length, got))
-                for item, own in short.items():
-                    k = len(own)
-                    if any(words[i : i + k] == own for i in range(len(words) - k + 1)):
-                        rows.append((item, doc_id, k, k, k))
             return rows
 
         return run

@@ -377,13 +377,30 @@ def test_metric_percentiles_of_days_are_those_of_the_whole(spark, tmp_path):
 
 def test_wu_manber_is_brute_force():
     rng = random.Random(2)
-    items = {k: [rng.choice("abcde") for _ in range(9)] for k in range(6)}
-    text = [rng.choice("abcde") for _ in range(3000)]
-    want = {k: sorted((i, j) for i in range(6) for j in range(len(text) - 3) if text[j : j + 4] == w[i : i + 4]) for k, w in items.items()}
-    got = leakage.WuManber(items).search(text)
+    items = [[rng.choice("abcde") for _ in range(n)] for n in (9, 9, 9, 5, 3, 2, 1)]
+    runs = [4, 4, 4, 3, 2, 1, 1]
+    text = [rng.choice("abcdefg") for _ in range(3000)]
+    want = {k: sorted((i, j) for i in range(len(w) - r + 1) for j in range(len(text) - r + 1) if text[j : j + r] == w[i : i + r]) for k, (w, r) in enumerate(zip(items, runs))}
+    got = leakage.WuManber(items, runs).search(text)
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
 
+def test_ten_thousand_items_read_the_documents_once(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(25))) for k in range(10_000)]
+    spark.createDataFrame([(k, f"Before it. {items[k * 500][1]} After it.") for k in range(20)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/d")
+    out = leakage.leaks(spark.createDataFrame(items, "item_id bigint, text string"), spark.read.parquet(f"{tmp_path}/d"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert rows(out, "item_id", "doc_id") == sorted((k * 500, k) for k in range(20))
+
+
+def test_short_items_leak_by_half(spark):
+    docs = spark.createDataFrame([(1, "We saw a grey heron over there"), (2, "The heron grey was away"), (3, "nothing at all")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "grey heron standing still"), (2, "grey heron mill"), (3, "Heron"), (4, "a grey heron flew over the old mill")], "item_id bigint, text string")
+    assert rows(leakage.leaks(items, docs), "item_id", "doc_id") == [(1, 1), (2, 1), (3, 1), (3, 2)]
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(6)) for _ in range(400)]
@@ -399,7 +416,7 @@ def test_leaks(spark):
     docs = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr("*", "5 AS item_id", "'q' AS words")
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, other(50)), (None, item)], "item_id bigint, text string")
     assert rows(leakage.leaks(items, docs), "item_id", "doc_id") == [(1, d) for d in (10, 11, 13, 14, 17, 18)]
-    assert rows(leakage.leaks(items, docs, block=1), "item_id", "doc_id") == [(1, d) for d in (10, 11, 13, 14, 17, 18)]
+    assert rows(leakage.leaks(items, docs, pass_words=60), "item_id", "doc_id") == [(1, d) for d in (10, 11, 13, 14, 17, 18)]
     assert leakage.leaks(items.limit(0), docs).collect() == [] and leakage.leaks(items, docs.limit(0)).collect() == []
 
 
