@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,17 +36,34 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a folder under the temporary directory is set instead."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only on one machine (a ``local``
+    master), where that is unset, a folder under the temporary directory is set instead; on a
+    cluster an unset folder is an error, since executors don't share a machine's own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
-    own = os.path.join(tempfile.gettempdir(), "foliospark-checkpoints")
-    sc.setCheckpointDir(own)
-    return own
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "foliospark-checkpoints")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+        _drop_at_end(spark, sc.getCheckpointDir())  # the session's own folder below the named one
+    return named
+
+
+def _drop_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder of this session in the shared one; it goes when the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/foliospark-{kind}-{uuid.uuid4().hex}"
+    _drop_at_end(spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,5 +73,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, as a table: of what is read several times, each reader takes its columns."""
+    path = scratch(df.sparkSession, "table") + "/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,17 +1,16 @@
 """Structured Streaming: rates, repeated jobs, live workers and page sinks over file streams.
 
-State is bounded by watermarks throughout; the checkpoint of each query belongs in the
-shared folder that the session names.
+In ``append`` mode state is bounded by watermarks: windows close, keys expire. ``complete``
+keeps every window it has counted, so it suits small results such as daily rates. The
+checkpoint of each query belongs in the shared folder that the session names.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.session import ensure_checkpoint_dir
+from foliospark.session import scratch
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -54,7 +53,7 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything there is now through the stream into a folder of the shared directory, read
     back as a table. ``complete`` and ``update`` go through a batch sink that overwrites."""
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         q = writer.outputMode("append").format("parquet").option("path", f"{base}/rows").start()
