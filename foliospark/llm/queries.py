@@ -72,7 +72,7 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.frequent_lines(table(spark, sf_dir, "ocr_results")).select(F.col("source").alias("job_id"), "line")
+    return boilerplate.lines_of(p6_sequences(spark, sf_dir)).select(F.col("source").alias("job_id"), "line")
 
 
 def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,7 @@ def p6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "ocr_results")
-    return boilerplate.cleaned(pages, boilerplate.frequent_lines(pages))
+    return boilerplate.cleaned(table(spark, sf_dir, "ocr_results"), p6_sequences(spark, sf_dir))
 
 
 def p7_job_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +149,17 @@ def _rank_sql(name: str, value: str) -> str:
         SELECT job_id, max(n) AS n, CAST(0 AS BIGINT) AS rank_error, {pick} FROM k GROUP BY job_id"""
 
 
+_FORM = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[0-9]+', '#', 'g'), '[^a-zà-öø-ÿœ#]+', ' ', 'g'))"
+_FREQUENT = f"""
+        WITH p AS (SELECT job_id, page_number, extracted_text AS t FROM ocr_results
+                   WHERE job_id IS NOT NULL AND page_number IS NOT NULL AND regexp_matches(extracted_text, '\\S')),
+        l AS (SELECT DISTINCT job_id, page_number, {_FORM('x')} AS line FROM (SELECT job_id, page_number, unnest(string_split(t, chr(10))) AS x FROM p)),
+        n AS (SELECT job_id, count(DISTINCT page_number) AS pages FROM p GROUP BY 1)
+        SELECT job_id, line FROM (
+          SELECT l.job_id, line, count(*) AS c, any_value(n.pages) AS pages FROM l JOIN n ON l.job_id = n.job_id
+          WHERE regexp_matches(line, '[a-zà-öø-ÿœ]') GROUP BY 1, 2)
+        WHERE c >= 8 AND c >= 0.2 * pages"""
+
 ORACLES: dict[str, str] = {
     "p3_found": """
         SELECT 'ocr_results' AS item_kind, id AS item_id FROM ocr_results
@@ -157,17 +167,14 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT 'book_paragraphs', para_id FROM book_paragraphs
         WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_kind = 'book_paragraphs')""",
-    "p6_found": """
-        WITH p AS (SELECT job_id, page_number, extracted_text AS t FROM ocr_results
-                   WHERE job_id IS NOT NULL AND page_number IS NOT NULL AND regexp_matches(extracted_text, '\\S')),
-        l AS (SELECT DISTINCT job_id, page_number,
-                trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '#', 'g'), '[^a-zà-öø-ÿœ#]+', ' ', 'g')) AS line
-              FROM (SELECT job_id, page_number, unnest(string_split(t, chr(10))) AS x FROM p)),
-        n AS (SELECT job_id, count(DISTINCT page_number) AS pages FROM p GROUP BY 1)
-        SELECT job_id, line FROM (
-          SELECT l.job_id, line, count(*) AS c, any_value(n.pages) AS pages FROM l JOIN n ON l.job_id = n.job_id
-          WHERE regexp_matches(line, '[a-zà-öø-ÿœ]') GROUP BY 1, 2)
-        WHERE c >= 8 AND c >= 0.2 * pages""",
+    "p6_found": f"SELECT job_id, line FROM ({_FREQUENT})",
+    "p6_cleaned": f"""
+        WITH f AS (SELECT job_id, list(line) AS frequent FROM ({_FREQUENT}) GROUP BY 1),
+        r AS (SELECT id, ocr_results.job_id AS source, extracted_text AS t, frequent, string_split(extracted_text, chr(10)) AS l
+              FROM ocr_results LEFT JOIN f ON ocr_results.job_id = f.job_id),
+        k AS (SELECT *, list_filter(l, lambda x: NOT list_contains(frequent, {_FORM('x')})) AS kept FROM r)
+        SELECT id, source, CASE WHEN frequent IS NULL THEN t ELSE array_to_string(kept, chr(10)) END AS cleaned_text,
+          CASE WHEN frequent IS NULL OR t IS NULL THEN 0 ELSE len(l) - len(kept) END::INT AS removed_lines FROM k""",
     # within the permitted error a group of so few values keeps every rank
     "p7_job_percentiles": _rank_sql("ocr_results", "processing_time"),
     "p7_job_percentiles_by_day": _rank_sql("ocr_results", "processing_time"),
