@@ -43,17 +43,14 @@ COMMON_TERM = 0.05
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”’»)]*\s+|\n\s*\n")
 
 
-def stem(word: str) -> str:
-    return word[:-1] if len(word) > 4 and word[-1] == "s" else word
-
-
 def sentences(text: str) -> list[list[str]]:
-    """Folded words of each sentence of at least three words."""
+    """Folded words of each sentence of at least three words; a plural s is dropped."""
     out = []
-    for s in _SENTENCE.split(text):
-        words = [stem(w) for w in _WORD.findall(fold(s))]
+    # folded as a whole: the mark between sentences passes unchanged
+    for s in fold("\0".join(_SENTENCE.split(text))).split("\0"):
+        words = _WORD.findall(s)
         if len(words) >= 3:
-            out.append(words)
+            out.append([w[:-1] if w[-1] == "s" and len(w) > 4 else w for w in words])
     return out
 
 
@@ -68,21 +65,20 @@ def learn_terms(docs: DataFrame, labels: DataFrame, none: str = "none") -> dict[
         "subjects array<string>, words array<string>",
     )
     words = cut(words)
-    size = {r.subject: r.n for r in words.select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count("*").alias("n")).collect()}
-    total = words.count()
+    whole = ""  # stands for all documents
+    size = {r.subject: r.n for r in words.select(F.explode(F.array_append("subjects", F.lit(whole))).alias("subject")).groupBy("subject").agg(F.count("*").alias("n")).collect()}
+    total = size.pop(whole, 0)
     size.pop(none, None)
     if not size or not total:
         return {}
     by_word = words.select(F.explode("words").alias("word"), "subjects").groupBy("word").agg(
-        F.count("*").alias("n"), *[F.count_if(F.array_contains("subjects", s)).alias(f"s{k}") for k, s in enumerate(size)]
+        F.count("*").alias("n"), F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(float(n)).alias("of"), F.count_if(F.array_contains("subjects", s)).alias("c")) for s, n in size.items()]).alias("by")
     )
+    each = by_word.select("word", "n", F.explode("by").alias("b")).select("word", "n", "b.*").where(F.col("c") >= MIN_DOCUMENTS)
+    odds = F.log((F.col("c") / F.col("of")) / ((F.col("n") - F.col("c") + 0.5) / (F.lit(float(total + 1)) - F.col("of"))))
     terms: dict[str, dict[str, float]] = {}
-    for k, (s, n) in enumerate(size.items()):
-        c = F.col(f"s{k}")
-        odds = F.log((c / F.lit(float(n))) / ((F.col("n") - c + 0.5) / F.lit(float(total - n + 1))))
-        best = by_word.where(c >= MIN_DOCUMENTS).select("word", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
-        for r in best.collect():
-            terms.setdefault(r.word, {})[s] = r.odds
+    for r in each.select("word", "subject", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy("word", "subject").collect():
+        terms.setdefault(r.word, {})[r.subject] = r.odds
     return terms
 
 
@@ -164,8 +160,9 @@ def assign(docs: DataFrame, labels: DataFrame, none: str = "none") -> DataFrame:
     learned = learn_terms(docs, labels, none)
     terms = sorted(learned)
     hits = cut(find_terms(docs, terms))  # read three times, and much smaller than the texts
-    total = max(1, hits.count())
-    seen = {r.t: r.n for r in hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["t"]))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    each = F.array_append(F.array_distinct(F.transform("hits", lambda h: h["t"])), F.lit(-1))  # -1 stands for the document
+    seen = {r.t: r.n for r in hits.select(F.explode(each).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    total = max(1, seen.pop(-1, 0))
     rarity = lambda k: min(1.0, math.log(total / (seen.get(k, 0) + 1) + 1) / math.log(1 / COMMON_TERM + 1))
     # a term that is everywhere weighs half of what a rare one does
     weights = [{s: o * (1 + rarity(k)) / 2 for s, o in learned[t].items()} for k, t in enumerate(terms)]

@@ -475,6 +475,19 @@ def test_subjects(spark):
     assert subjects.assign(docs, lab.limit(0)).collect() == [] and subjects.assign(docs.limit(0), lab).collect() == []
 
 
+def test_subjects_of_held_out_documents(spark):
+    """Fitted on two thirds of the hand labels of the test tables, held against the rest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "subject_labels"))
+    docs = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    got = subjects.assign(docs, labels.where(~held))
+    want = set(rows(labels.where(held).where("subject <> 'none'").distinct(), "doc_id", "subject"))
+    mine = set(rows(got.join(labels.where(held).select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "subject"))
+    both = len(want & mine)
+    print(f"held out: {len(want)} labelled, {len(mine)} given, {both} of them the same")
+    assert both >= 0.85 * len(want) and both >= 0.85 * len(mine)  # some labels are wrong
+
+
 def test_every_term_that_passes_is_kept(spark):
     own = [f"{a}{b}{c}ing" for a in "bcdfghjklm" for b in "aeiou" for c in "bdfgklmnp"]
     data = [(k, f"We saw {' '.join(own)} there.") for k in range(6)] + [(k, "We saw nothing there at all.") for k in range(6, 60)]
