@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,14 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, sources: list[str]
     """``doc_id, source, tokens``, with the source in its plain spelling; only ``sources``, if
     given, are tokenized."""
 
+    docs.sparkSession.sparkContext.addFile(tokenizer)  # the driver's file goes to every executor
+    name = os.path.basename(tokenizer)
+
     def make():
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(tokenizer, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -109,9 +114,12 @@ def select(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None,
 
 
 def report(selection: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: tokens, documents, most copies and the share reached."""
+    """Per target source: tokens, documents, most copies, the share reached, and whether the
+    source is ``exhausted``, every chosen document used as often as permitted: without
+    ``total_tokens`` that is the source that sets the size of the whole."""
     plain = require(targets, "source", "target_share", "max_repeats").select(F.trim(F.lower("source")).alias("source"), "target_share", "max_repeats")
-    got = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
+    got = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.min("copies").alias("_least"))
     both = plain.join(got, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
     whole = F.sum("tokens").over(Window.partitionBy())  # one row per source
-    return both.withColumn("actual_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0)))
+    share = F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0))
+    return both.withColumn("actual_share", share).withColumn("exhausted", F.coalesce(F.col("_least") >= F.col("max_repeats"), F.lit(False))).drop("_least")

@@ -122,7 +122,7 @@ def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSIL
         size = 0
         for b in batches:
             values = b.column(len(keys)).to_numpy(zero_copy_only=False)
-            for key, at in _grouped([b.column(i).to_pylist() for i in range(len(keys))], len(values)):
+            for key, at in _grouped([b.column(i) for i in range(len(keys))], len(values)):
                 held.setdefault(key, []).append(values[at])
             size += len(values)
             if size >= HELD:
@@ -138,11 +138,16 @@ def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSIL
     return _merged(rows.mapInArrow(run, schema), keys, epsilon)
 
 
-def _grouped(cols: list[list], n: int):
-    at: dict[tuple, list[int]] = {}
-    for i, key in enumerate(zip(*cols) if cols else [()] * n):
-        at.setdefault(key, []).append(i)
-    return at.items()
+def _grouped(cols: list[pa.Array], n: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key, places) of each group of a batch: keys become codes, and the codes are sorted."""
+    codes = np.zeros(n, dtype=np.int64)
+    for c in cols:
+        d = c.dictionary_encode(null_encoding="encode")
+        codes = codes * max(1, len(d.dictionary)) + d.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        if len(at):
+            yield tuple(c[int(at[0])].as_py() for c in cols), at
 
 
 def _fold(held: dict, done: dict, epsilon: float) -> None:
@@ -214,3 +219,21 @@ def percentiles(stored: DataFrame, keys: list[str], qs: tuple[float, ...] = (0.5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return stored.select(*keys, "n", "vals", "least", "greatest").mapInArrow(run, schema)
+
+
+def within(df: DataFrame, keys: list[str], value: str, epsilon: float, qs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Percentiles from summaries of ``epsilon`` held against the values themselves: per group
+    ``n``, for each percentile whether its true rank lies within the reported error, and
+    whether that error is within what ``epsilon`` permits."""
+    got = percentiles(summaries(df, keys, value, epsilon), keys, qs)
+    names = got.columns[len(keys) + 2 :]
+    v = F.col(f"`{value}`").cast("double")
+    rows = require(df, *dict.fromkeys([*keys, value])).where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf"))).select(*keys, v.alias("_value"))
+    right = got.toDF(*[f"_k{i}" for i in range(len(keys))], *got.columns[len(keys) :])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    both = rows.join(right, same) if keys else rows.join(right)
+    counts = [F.count_if(F.col("_value") < F.col(x)).alias(f"_lo_{x}") for x in names] + [F.count_if(F.col("_value") <= F.col(x)).alias(f"_hi_{x}") for x in names]
+    ranks = both.groupBy(*keys, "n", "rank_error").agg(*counts)
+    rank = lambda q: F.least(F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)), F.col("n"))
+    holds = [((F.col(f"_lo_{x}") + 1 - F.col("rank_error") <= rank(q)) & (rank(q) <= F.col(f"_hi_{x}") + F.col("rank_error"))).alias(f"{x}_within") for x, q in zip(names, qs)]
+    return ranks.select(*keys, "n", *holds, (F.col("rank_error") <= F.greatest(F.lit(1.0), F.lit(2 * epsilon) * F.col("n"))).alias("error_within"))

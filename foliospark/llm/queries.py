@@ -107,6 +107,11 @@ def p7_metric_percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(days, ["job_id"]), ["job_id"])
 
 
+def p7_job_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries coarse enough to compress jobs of forty pages, held against all values."""
+    return quantiles.within(table(spark, sf_dir, "ocr_results").where("job_id is not null"), ["job_id"], "processing_time", 0.1)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents")).select("item_id", "doc_id")
 
@@ -178,6 +183,9 @@ ORACLES: dict[str, str] = {
     # within the permitted error a group of so few values keeps every rank
     "p7_job_percentiles": _rank_sql("ocr_results", "processing_time"),
     "p7_job_percentiles_by_day": _rank_sql("ocr_results", "processing_time"),
+    # every percentile of a compressed summary must hold within its own bound
+    "p7_job_bounds": """SELECT job_id, count(*) AS n, true AS p50_within, true AS p90_within, true AS p99_within, true AS error_within FROM ocr_results
+        WHERE job_id IS NOT NULL AND processing_time IS NOT NULL AND NOT isnan(processing_time) AND processing_time >= 0 GROUP BY 1""",
     "p7_metric_percentiles": _rank_sql("ocr_metrics", "avg_page_time"),
     "p7_metric_percentiles_by_day": _rank_sql("ocr_metrics", "avg_page_time"),
 }

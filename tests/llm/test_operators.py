@@ -347,6 +347,9 @@ def test_summaries_keep_their_bound(spark):
                 lo, hi = bisect.bisect_left(values, r[name]) + 1, bisect.bisect_right(values, r[name])
                 assert lo - r.rank_error <= rank <= hi + r.rank_error
     assert max(len(r.vals) for r in s.collect()) < 2000
+    coarse = quantiles.within(df, ["g"], "v", 0.02).collect()
+    assert len(coarse) == len({g for g, v in data if v is not None and 0 <= v < float("inf")}) and all(all(r[2:]) for r in coarse)
+    assert min(len(r.vals) / r.n for r in quantiles.summaries(df, ["g"], "v", 0.02).collect()) < 0.2  # it did compress
 
 
 def test_median_of_few(spark):
