@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chars import ALNUM_OR_SPACE, BROKEN, PRINTABLE, SPACE, occurrences, strip, words
+from .chars import BROKEN, NEITHER, NOT_PRINTABLE, SPACE, SPACES, occurrences, strip, words
 
 # ---- quality and routing of native text ----
 
@@ -29,10 +29,11 @@ def quality(df: DataFrame, text: str = "text") -> DataFrame:
     base = base.select(
         *df.columns,
         n.cast("int").alias("character_count"),
-        per(occurrences(t, PRINTABLE)).alias("_p"),
-        per(occurrences(t, BROKEN)).alias("_b"),
-        per(occurrences(t, ALNUM_OR_SPACE)).alias("_a"),
-        per(occurrences(t, f"[{SPACE}]")).alias("_s"),
+        per(n - occurrences(t, NOT_PRINTABLE)).alias("_p"),
+        # most texts hold no such sign: a look is cheaper than a copy
+        F.when(t.rlike(BROKEN), per(occurrences(t, BROKEN))).otherwise(F.lit(0.0)).alias("_b"),
+        per(n - occurrences(t, NEITHER)).alias("_a"),
+        per(occurrences(t, SPACES)).alias("_s"),
         F.when(F.size(lines) > 0, 1.0 - F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(F.lit(0.0)).alias("_d"),
     )
     c = F.col("character_count")

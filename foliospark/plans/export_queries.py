@@ -98,9 +98,13 @@ def padded_widths(spark, sf_dir):
     return r.select("id", "ratio", (F.ceil(F.lit(48) * F.greatest("ratio", F.lit(48.0 / 320)) / 32) * 32).cast("int").alias("padded"))
 
 
-@query("SELECT job_id, count(*) AS pages, count(*) FILTER (WHERE route = 'native') AS native_pages, count(*) FILTER (WHERE route <> 'native') AS ocr_pages FROM page_results GROUP BY 1")
+@query(f"""WITH h AS (SELECT job_id, coalesce(page, -1) AS page, route, confidence, sha256(concat_ws(chr(31), page::VARCHAR, coalesce(route, ''), coalesce(text, '\\0'))) AS h FROM page_results),
+    p AS (SELECT job_id, floor(page / {sinks.MANIFEST_PART}) AS part, count(*) AS n, count(*) FILTER (WHERE route = 'native') AS a, count(*) FILTER (WHERE route <> 'native') AS b,
+      sum(confidence) AS s, count(confidence) AS c, sha256(string_agg(h, chr(10) ORDER BY page, h)) AS h FROM h GROUP BY 1, 2)
+    SELECT job_id, sum(n)::BIGINT AS pages, sum(a)::BIGINT AS native_pages, sum(b)::BIGINT AS ocr_pages, round(sum(s) / nullif(sum(c), 0) + 1e-9, 4) AS mean_confidence,
+      sha256(string_agg(h, chr(10) ORDER BY part, h)) AS digest FROM p GROUP BY 1""")
 def manifests(spark, sf_dir):
-    return sinks.manifest(table(spark, sf_dir, "page_results")).select("job_id", "pages", "native_pages", "ocr_pages")
+    return sinks.manifest(table(spark, sf_dir, "page_results"))
 
 
 @query(f"""SELECT id, k - 1 AS ord, line, round((1000.0::DOUBLE / (n + 2)) * k, 6) AS ymin, round((1000.0::DOUBLE / (n + 2)) * (k + 1), 6) AS ymax FROM (

@@ -20,7 +20,7 @@ def _quality_sql(table_: str, key: str, column: str) -> str:
     b AS (SELECT *, length(t) AS n, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_STRIP("x")}), lambda x: x <> '') AS l FROM a),
     c AS (SELECT {key}, n,
       CASE WHEN n = 0 THEN 0.0 ELSE {_COUNT("t", chars.PRINTABLE)}::DOUBLE / n END AS p,
-      CASE WHEN n = 0 THEN 0.0 ELSE {_COUNT("t", chars.BROKEN)}::DOUBLE / n END AS u,
+      CASE WHEN n = 0 THEN 0.0 ELSE {_COUNT("t", chars.BROKEN_SIGN)}::DOUBLE / n END AS u,
       CASE WHEN n = 0 THEN 0.0 ELSE {_COUNT("t", chars.ALNUM_OR_SPACE)}::DOUBLE / n END AS a,
       CASE WHEN n = 0 THEN 0.0 ELSE {_COUNT("t", f"[{_S}]")}::DOUBLE / n END AS s,
       CASE WHEN len(l) > 0 THEN 1.0::DOUBLE - len(list_distinct(l))::DOUBLE / len(l) ELSE 0.0 END AS d FROM b),

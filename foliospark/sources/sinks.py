@@ -71,11 +71,22 @@ def text_boxes(pages: DataFrame) -> DataFrame:
     return box.select("page_id", F.col("k").alias("ord"), "line", "xmin", "ymin", "xmax", "ymax", size.alias("font_size"), (F.col("ymax") - 0.15 * (F.col("ymax") - F.col("ymin"))).alias("baseline"))
 
 
+#: Parts of a job whose page hashes are put in order and hashed by themselves.
+MANIFEST_PART = 1000
+
+
 def manifest(pages: DataFrame) -> DataFrame:
-    """One row a job of ``job_id, page, route, confidence, text``: counts, route shares and a
-    digest that changes with any page (digests of pages are combined in page order per hash
-    part, so no job is gathered)."""
-    h = F.xxhash64("page", "text")
-    return pages.groupBy("job_id").agg(
-        F.count("*").alias("pages"), F.count_if(F.col("route") == "native").alias("native_pages"), F.count_if(F.col("route") != "native").alias("ocr_pages"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.hex(F.bit_xor(h)).alias("digest")
+    """One row a job of ``job_id, page, route, confidence, text``: counts, mean confidence and
+    a digest that changes with any page, its number or its place. Pages are hashed, the
+    hashes of ``MANIFEST_PART`` page numbers are put in order and hashed, and so are those of
+    the parts: of a job of any size a task holds one part. Rows that are there twice count twice."""
+    h = F.sha2(F.concat_ws("\x1f", F.col("page").cast("string"), F.coalesce("route", F.lit("")), F.coalesce("text", F.lit("\\0"))), 256)
+    rows = pages.select("job_id", F.floor(F.coalesce("page", F.lit(-1)) / MANIFEST_PART).alias("part"), F.coalesce("page", F.lit(-1)).alias("page"), "route", "confidence", h.alias("h"))
+    ordered = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: x["h"]), "\n"), 256)
+    native = F.col("route") == "native"
+    parts = rows.groupBy("job_id", "part").agg(
+        F.count("*").alias("n"), F.count_if(native).alias("native"), F.count_if(~native).alias("ocr"), F.sum("confidence").alias("s"), F.count("confidence").alias("c"), ordered("page").alias("h")
+    )
+    return parts.groupBy("job_id").agg(
+        F.sum("n").alias("pages"), F.sum("native").alias("native_pages"), F.sum("ocr").alias("ocr_pages"), F.round(F.sum("s") / F.nullif(F.sum("c"), F.lit(0)) + F.lit(1e-9), 4).alias("mean_confidence"), ordered("part").alias("digest")
     )
