@@ -38,6 +38,8 @@ from .textstats import CELLS, FEW_READABLE, MARKED, readable_share
 MAX_GOLD = 3000
 #: Pages with known paragraphs on which a word must stand to count as known without them.
 OFTEN = 5
+#: Characters from which a line is a paragraph and isn't looked at for cells or marks.
+LONG_LINE = 160
 EPOCHS, LINE_EPOCHS = 4, 20
 #: Misread words from which a page counts as misread.
 MIN_MISREAD = 3
@@ -45,6 +47,8 @@ MIN_MISREAD = 3
 MIN_KNOWN = 0.35
 #: Pages with furniture up to which their rows are broadcast (about 40 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Rows of titles and returning lines (below 200 bytes each) up to which they are broadcast.
+SMALL_ROWS = 200_000
 
 EDGE = ".,;:!?…'’‘”“„«»()[]\"—–*/|│¿¡ "
 NUMBER = r"(?:\d+|(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
@@ -161,6 +165,7 @@ class Editor:
         self.options: dict[str, list[str]] = {}
         self.pairs: set[tuple[str, str]] = set()  # two characters that stood for one or two
         self._memory: dict[str, str] = {}
+        self._mended: dict[str, str] = {}
 
     def train_words(self, pairs: Counter) -> None:
         data = []
@@ -239,14 +244,25 @@ class Editor:
                     return True
         return False
 
+    def _mend(self, core: str) -> str:
+        if not self.misread(core):
+            return core
+        new = "".join(p if p in "-'’‐" else self.word(p) for p in re.split("([-'’‐])", core.lower()) if p)
+        return new.upper() if core.isupper() and len(core) > 1 else new[:1].upper() + new[1:] if core[:1].isupper() else new
+
     def mended(self, text: str) -> str:
         """The text with its misread words as the editor writes them; blanks become one."""
         out = []
         for w in text.split():
             core = w.strip(EDGE)
-            if core and core not in self.known and self.misread(core):
-                new = "".join(p if p in "-'’‐" else self.word(p) for p in re.split("([-'’‐])", core.lower()) if p)
-                w = w.replace(core, new.upper() if core.isupper() and len(core) > 1 else new[:1].upper() + new[1:] if core[:1].isupper() else new)
+            if core and core not in self.known:
+                new = self._mended.get(core)
+                if new is None:
+                    if len(self._mended) > 300_000:
+                        self._mended.clear()
+                    new = self._mended[core] = self._mend(core)
+                if new != core:
+                    w = w.replace(core, new)
             out.append(w)
         return " ".join(out)
 
@@ -293,47 +309,70 @@ def _value(line: str) -> int | None:
 
 def _form(line: str) -> str:
     core = line.strip()
+    if len(core) > LONG_LINE:
+        return "prose"
     return "cells" if CELLS.search(line) else "marked" if MARKED.match(core) else "short" if core[-1:] not in ".!?:;,-" and len(core.split()) <= 5 else "upper" if core.isupper() else "prose"
 
 
-def line_features(line: str, place: str, beside: str, repeats: int, title: float, chapter: float) -> list[str]:
-    """``beside``: what :func:`_ends` says about the lines around."""
+FACTS = (
+    "number", "year", "attached", "prefix", "dot", "heading", "upper", "lower_start", "sentence", "hyphen", "words", "named", "repeats", "own",
+    "blank", "place", "inner", "after", "beside", "wide",
+)
+#: Facts that are taken together.
+TOGETHER = (
+    ("repeats", "words"), ("repeats", "sentence"), ("named", "words"), ("words", "sentence"), ("blank", "words"), ("place", "sentence"), ("place", "words"),
+    ("upper", "sentence"), ("attached", "sentence"), ("attached", "own"), ("number", "year"), ("number", "repeats"), ("number", "after"), ("beside", "repeats"),
+    ("beside", "words"), ("inner", "named"), ("inner", "repeats"), ("own", "number"), ("own", "repeats"), ("own", "words"),
+    ("named", "sentence"), ("upper", "words"), ("upper", "repeats"), ("upper", "beside"), ("attached", "beside"), ("prefix", "beside"), ("dot", "beside"),
+    ("named", "beside"), ("wide", "sentence"), ("prefix", "sentence"), ("dot", "sentence"), ("heading", "words"),
+    ("upper", "place", "beside"), ("place", "beside", "sentence"), ("place", "words", "sentence"), ("upper", "words", "sentence"),
+    ("wide", "words", "sentence"), ("after", "words", "sentence"), ("lower_start", "words", "sentence"),
+)
+_TOGETHER = tuple((name, tuple(map(FACTS.index, name))) for name in TOGETHER)
+
+
+def line_facts(line: str, place: str, beside: str, repeats: int, title: float, chapter: float, seen: dict | None = None) -> tuple:
+    """What the model knows of a line, in the order of ``FACTS``. ``beside``: what :func:`_ends`
+    says about the lines around. ``seen`` remembers words."""
     core = line.strip()
     body = NUMBER_AFTER.sub("", NUMBER_BEFORE.sub("", core)).strip()
-    words = len(body.split())
+    words = body.count(" ") + 1
     number = bool(NUMBER_LINE.match(core))
     blank, inner, after, form, wide = beside.split(",")
-    fact = {
-        "number": number,
-        "year": bool(YEAR_END.match(core)) and after != "end",
-        "attached": len(body) < len(core) and not number,
-        "prefix": bool(PREFIX.match(body)),
-        "dot": " · " in body,
-        "heading": core[:1] == "#",
-        "upper": body.isupper() and words > 1,
-        "lower_start": body[:1].islower() and body != body.lower(),
-        "sentence": body[-1:] in ".!?,;" and not number,
-        "hyphen": body[-1:] in BREAK_MARKS and not number,
-        "words": "1" if words < 2 else "2" if words < 4 else "4" if words < 10 else "10" if words < 17 else "17",
-        "named": "title" if title >= 0.8 else "chapter" if chapter >= 0.8 else "no",
-        "repeats": "1" if repeats < 2 else "2" if repeats < 4 else "4",
-        "own": "odd" if readable_share(body, {}) < FEW_READABLE and not number else "cells" if CELLS.search(body) else "marked" if MARKED.match(body) else "no",
-        "blank": blank,
-        "place": place,
-        "inner": inner,
-        "after": after,
-        "beside": form,
-        "wide": wide,
-    }
-    f = [f"{k}={v}" for k, v in fact.items()]
-    both = (
-        ("repeats", "words"), ("repeats", "sentence"), ("named", "words"), ("words", "sentence"), ("blank", "words"), ("place", "sentence"), ("place", "words"),
-        ("upper", "sentence"), ("attached", "sentence"), ("attached", "own"), ("number", "year"), ("number", "repeats"), ("number", "after"), ("beside", "repeats"),
-        ("beside", "words"), ("inner", "named"), ("inner", "repeats"), ("own", "number"), ("own", "repeats"), ("own", "words"),
-        ("named", "sentence"), ("upper", "words"), ("upper", "repeats"), ("upper", "beside"), ("attached", "beside"), ("prefix", "beside"), ("dot", "beside"), ("named", "beside"), ("wide", "sentence"), ("prefix", "sentence"), ("dot", "sentence"), ("heading", "words"),
-        ("upper", "place", "beside"), ("place", "beside", "sentence"), ("place", "words", "sentence"), ("upper", "words", "sentence"), ("wide", "words", "sentence"), ("after", "words", "sentence"), ("lower_start", "words", "sentence"),
-    )
-    f += [f"{'&'.join(k)}={','.join(str(fact[x]) for x in k)}" for k in both]
+    if number or len(body) > LONG_LINE:
+        own = "no"
+    elif readable_share(body, {} if seen is None else seen) < FEW_READABLE:
+        own = "odd"
+    else:
+        own = "cells" if CELLS.search(body) else "marked" if MARKED.match(body) else "no"
+    upper = words > 1 and body.isupper()
+    return (
+        number,
+        number and after != "end" and bool(YEAR_END.match(core)),
+        len(body) < len(core) and not number,
+        bool(PREFIX.match(body)),
+        " · " in body,
+        core[:1] == "#",
+        upper,
+        body[:1].islower() and body != body.lower(),
+        body[-1:] in ".!?,;" and not number,
+        body[-1:] in BREAK_MARKS and not number,
+        "1" if words < 2 else "2" if words < 4 else "4" if words < 10 else "10" if words < 17 else "17",
+        "title" if title >= 0.8 else "chapter" if chapter >= 0.8 else "no",
+        "1" if repeats < 2 else "2" if repeats < 4 else "4",
+        own,
+        blank,
+        place,
+        inner,
+        after,
+        form,
+        wide,
+    )
+
+
+def line_features(facts: tuple) -> list[str]:
+    f = [f"{k}={v}" for k, v in zip(FACTS, facts)]
+    f += [f"{'&'.join(name)}={','.join(str(facts[i]) for i in at)}" for name, at in _TOGETHER]
     return [*f, "bias"]
 
 
@@ -381,7 +420,10 @@ def _alike(plain: str, title: str) -> float:
         return 1.0
     if abs(len(title) - len(plain)) > 0.3 * len(title):
         return 0.0
-    ratio = SequenceMatcher(None, title, plain, False).ratio()
+    m = SequenceMatcher(None, title, plain, False)
+    if m.real_quick_ratio() < 0.85 or m.quick_ratio() < 0.85:
+        return 0.0
+    ratio = m.ratio()
     return ratio if ratio >= 0.85 else 0.0
 
 
@@ -396,7 +438,7 @@ def head_candidates(pages: DataFrame, editor: Editor) -> DataFrame:
         def plain(line, page):
             if NUMBER_LINE.match(line):
                 return "" if (v := _value(line)) is None else f"#{v - page}"
-            return _plain(ed.mended(line))
+            return _plain(ed.mended(line)) if line.count(" ") < 24 else ""  # no title is a paragraph
 
         def run(names, jobs, numbers, texts):
             return [(n, j, p, place, line, plain(line, p), beside) for n, j, p, t in zip(names, jobs, numbers, texts) for place, line, beside in _ends(t)]
@@ -420,22 +462,27 @@ def job_lines(heads: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return repeats.join(chapters, ["job_id", "plain"], "full")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint where it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def with_job(heads: DataFrame, lines: DataFrame, jobs: DataFrame) -> DataFrame:
     """Adds the title of the job, and on how many of its pages a line stands."""
     name = F.regexp_replace(F.regexp_replace(F.lower("filename"), r"^.*/|\.[a-z]+$", ""), r"[^\p{L}]+", " ")
     title = require(jobs, "id", "filename").where("id is not null").groupBy(F.col("id").alias("job_id")).agg(F.first(F.trim(name), True).alias("title"))
-    return heads.join(lines, ["job_id", "plain"], "left").join(title, "job_id", "left").select(
+    return heads.join(_small(lines), ["job_id", "plain"], "left").join(_small(title), "job_id", "left").select(
         "table_name", "job_id", "page", "place", "line", "plain", "beside", F.coalesce("repeats", F.lit(1)).alias("repeats"), "title", F.coalesce("chapter", F.lit(0.0)).alias("chapter")
     )
 
 
-def _features_of(place, line, plain, beside, repeats, title, chapter) -> list[str]:
-    return line_features(line, place, beside, repeats, _alike(plain, title or ""), chapter)
+def _facts_of(place, line, plain, beside, repeats, title, chapter, seen: dict | None = None) -> tuple:
+    return line_facts(line, place, beside, repeats, _alike(plain, title or ""), chapter, seen)
 
 
-def is_furniture(model: Perceptron, *fact) -> bool:
-    """Whether a first or last line, as :func:`with_job` gives it, is page furniture."""
-    return model.best(_features_of(*fact), ["text", "furniture"])[0] == "furniture"
+def is_furniture(model: Perceptron, facts: tuple) -> bool:
+    """Whether a first or last line with these facts is page furniture."""
+    return model.best(line_features(facts), ["text", "furniture"])[0] == "furniture"
 
 
 def align(noisy: str, right: str) -> tuple[Counter, list[tuple[str, str, str, bool]]]:
@@ -536,11 +583,11 @@ def fit_lines(heads: DataFrame, lines: DataFrame, jobs: DataFrame, rights: dict[
     for r in with_job(known, lines, jobs).orderBy("job_id", "page", "table_name", "place", "line").collect():
         titled = bool(r.chapter) or _alike(r.plain, r.title or "") >= 0.8 or " · " in r.line
         if label := line_label(r.line, r.place, r.beside.split(",")[1] == "True", titled, rights[f"{r.job_id}/{r.page}"]):
-            data.append((_features_of(*r[3:]), label))
+            data.append((line_features(_facts_of(*r[3:])), label))
     for r in with_job(other, lines, jobs).orderBy("job_id", "page", "table_name", "place", "line").collect():
         # a line that returns is left out, unless it is a row itself
         if r.repeats == 1 or CELLS.search(r.line) or MARKED.match(r.line.strip()):
-            data.append((_features_of(*r[3:]), "text"))
+            data.append((line_features(_facts_of(*r[3:])), "text"))
     for _ in range(LINE_EPOCHS):
         for f, label in data:
             model.learn(f, ["text", "furniture"], label)
@@ -562,7 +609,13 @@ def word_noise(pages: DataFrame, editor: Editor) -> DataFrame:
     def make():
         ed = shared.value
         known = ed.known
-        verdict: dict[str, bool] = {}
+        verdict: dict[str, str] = {}
+
+        def judge(word: str) -> str:
+            core = word.strip(EDGE)
+            if not core:
+                return "sign"
+            return "right" if core in known or core.lower() in known else "bad" if ed.misread(core) else "unknown"
 
         def run(names, jobs, numbers, texts):
             rows = []
@@ -572,26 +625,17 @@ def word_noise(pages: DataFrame, editor: Editor) -> DataFrame:
                     if any(ed.joins_here(*m) for m in marks):
                         rows.append((n, j, p, "hyphenation"))
                     text = BREAK.sub(r"\1\3", text)
-                bad = seen = right = 0
-                for w in text.split():
-                    core = w.strip(EDGE)
-                    if core in known:
-                        right += 1
-                        continue
-                    if not core:
-                        continue
-                    seen += 1
-                    v = verdict.get(core)
-                    if v is None:
-                        low = core.lower()
-                        v = verdict[core] = 2 if low in known else 1 if ed.misread(core) else 0
-                        if len(verdict) > 400_000:
-                            verdict.clear()
-                    if v == 2:
-                        right += 1
-                        seen -= 1
-                    elif v:
-                        bad += 1
+                words = text.split()
+                told = list(map(verdict.get, words))
+                if None in told:
+                    if len(verdict) > 400_000:
+                        verdict.clear()
+                    for w in words:
+                        if w not in verdict:
+                            verdict[w] = judge(w)
+                    told = list(map(verdict.get, words))
+                bad, right = told.count("bad"), told.count("right")
+                seen = bad + told.count("unknown")
                 if bad >= MIN_MISREAD and right >= MIN_KNOWN * (right + seen):
                     rows.append((n, j, p, "misread"))
             return rows
@@ -612,12 +656,17 @@ def furniture(heads: DataFrame, model: Perceptron) -> DataFrame:
 
     def make():
         model = shared.value
+        seen: dict = {}
+        decided: dict[tuple, bool] = {}  # there are only so many combinations of facts
 
-        def run(names, jobs, numbers, *facts):
+        def run(names, jobs, numbers, *columns):
             rows = []
-            for n, j, p, *fact in zip(names, jobs, numbers, *facts):
-                if is_furniture(model, *fact):
-                    line = fact[1]
+            for n, j, p, *row in zip(names, jobs, numbers, *columns):
+                facts = _facts_of(*row, seen)
+                if (told := decided.get(facts)) is None:
+                    told = decided[facts] = is_furniture(model, facts)
+                if told:
+                    line = row[1]
                     number = NUMBER_LINE.match(line)
                     rows.append((n, j, p, "page_number" if number else "running_head", _mark(line)))
                     if not number and (NUMBER_BEFORE.match(line) or NUMBER_AFTER.search(line)):
