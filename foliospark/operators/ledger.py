@@ -77,22 +77,67 @@ def best_engine(pages: DataFrame, primary: str) -> DataFrame:
     return per.select("job_id", "page", pick.alias("r")).select("job_id", "page", F.col("r.e").alias("engine"), F.when(F.col("r.c") >= 0, F.col("r.c")).alias("confidence"))
 
 
+#: Rank error of the bracketing sketch as a share of the rows.
+SKETCH_ACCURACY = 10_000
+
+
+def percentiles(df: DataFrame, by: list[str], value: Column, qs: tuple[float, ...]) -> DataFrame:
+    """Exact interpolated percentiles per group as array ``p``, and the count ``n``. Mergeable
+    sketches bracket each rank, then only the distinct values between the brackets, a share of
+    about ``4 / SKETCH_ACCURACY`` of the rows, are put in order: a group of any size is
+    aggregated partially twice and never gathered. A null group is a group."""
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null")
+    slack = 2.0 / SKETCH_ACCURACY
+    ends = [x for q in qs for x in (max(0.0, q - slack), min(1.0, q + slack))]
+    sketch = F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(SKETCH_ACCURACY))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in enumerate(qs)])
+    brackets = rows.groupBy(*names).agg(F.count("*").alias("n"), sketch.alias("e"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    # a bracket at an end of the values must hold the end itself, and that of few values all of them
+    few = F.col("n") <= 2 * SKETCH_ACCURACY
+    brackets = brackets.select(
+        *names, "n", F.transform(wanted, lambda w: F.struct(
+            w["k"].alias("k"), (w["q"] * (F.col("n") - 1)).alias("at"),
+            F.when(few | (w["q"] <= slack), F.col("lo")).otherwise(F.col("e")[w["k"] * 2]).alias("a"), F.when(few | (w["q"] >= 1 - slack), F.col("hi")).otherwise(F.col("e")[w["k"] * 2 + 1]).alias("b"),
+        )).alias("w"))
+    same = [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in names]
+    right = brackets.select(*[F.col(x).alias(f"{x}_") for x in names], "n", "w")
+    # one row a group on the small side
+    near = rows.join(right, same) if names else rows.crossJoin(right)
+    near = near.select(*names, "n", "_v", F.explode("w").alias("w"))
+    inside = (F.col("_v") >= F.col("w.a")) & (F.col("_v") <= F.col("w.b"))
+    counted = near.groupBy(*names, "n", F.col("w.k").alias("k"), F.col("w.at").alias("at"), F.when(inside, F.col("_v")).alias("v")).agg(F.count_if(F.col("_v") < F.col("w.a")).alias("below"), F.count("*").alias("c"))
+    per = counted.groupBy(*names, "n", "k", "at").agg(F.sum("below").alias("below"), F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "c")))).alias("vs"))
+    # the value at a rank: the first whose cumulated count reaches beyond it
+    start = F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    lo = F.floor("at")
+    step = lambda z, v: F.struct(
+        (z["seen"] + v["c"]).alias("seen"), F.when(z["x"].isNull() & (z["seen"] + v["c"] > lo), v["v"]).otherwise(z["x"]).alias("x"),
+        F.when(z["y"].isNull() & (z["seen"] + v["c"] > F.least(lo + 1, F.col("n") - 1)), v["v"]).otherwise(z["y"]).alias("y"),
+    )
+    got = per.withColumn("z", F.aggregate("vs", start, step)).withColumn("p", F.col("z.x") + (F.col("at") - lo) * (F.col("z.y") - F.col("z.x")))
+    out = got.groupBy(*names, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("p"))
+    return out.select(*[F.col(x).alias(k) for x, k in zip(names, by)], "n", "p")
+
+
 def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Exact percentiles, mean, extremes and population deviation. Where groups are too large
-    for exact percentiles use mergeable summaries instead."""
+    """Exact percentiles, mean, extremes and population deviation."""
     v = measured(F.col(value))
     qs = [("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)]
-    p = F.percentile(v, F.array(*[F.lit(q) for _, q in qs]))
-    agg = df.groupBy(by).agg(F.count(v).alias("n"), p.alias("_p"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_pop(v).alias("std"))
+    agg = df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_pop(v).alias("std"))
+    p = percentiles(df, [by], v, tuple(q for _, q in qs)).select(F.col(by).alias("_by"), "p")
     r = lambda c: rounded(F.coalesce(c, F.lit(0.0)))
-    return agg.select(by, "n", *[r(F.col("_p")[k]).alias(n) for k, (n, _) in enumerate(qs)], *[r(F.col(c)).alias(c) for c in ("mean", "least", "most", "std")])
+    both = agg.join(p, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return both.select(by, "n", *[r(F.col("p")[k]).alias(n) for k, (n, _) in enumerate(qs)], *[r(F.col(c)).alias(c) for c in ("mean", "least", "most", "std")])
 
 
 def slopes(df: DataFrame, by: str, order: list[str], value: str, warm_up: int = 0, limit: float = 0.05) -> DataFrame:
     """Least-squares slope of ``value`` over the place in order, without the first
-    ``warm_up`` rows. A constant series has R2 0; fewer than two points pass with slope 0."""
-    w = Window.partitionBy(by).orderBy(*order)
-    rows = df.where(F.col(value).isNotNull()).withColumn("x", F.row_number().over(w).cast("double")).where(F.col("x") > warm_up)
+    ``warm_up`` rows. A constant series has R2 0; fewer than two points pass with slope 0.
+    ``order`` begins with a time: places are counted by day first."""
+    rows = row_numbers(df.where(F.col(value).isNotNull()), [by], F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date")), order, "x")
+    rows = rows.withColumn("x", F.col("x").cast("double")).where(F.col("x") > warm_up)
     y, x = F.col(value), F.col("x")
     fit = rows.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i"), F.regr_r2(y, x).alias("r"), F.var_pop(y).alias("v"))
     few = F.col("n") < 2
@@ -131,9 +176,9 @@ def rate_panel(df: DataFrame, at: str, width: str) -> DataFrame:
 
 
 def quantile_panel(df: DataFrame, at: str, width: str, value: str) -> DataFrame:
-    v = measured(F.col(value))
-    w = df.where(F.col(at).isNotNull() & v.isNotNull()).groupBy(F.window(at, width).alias("w")).agg(F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
-    return w.select(F.col("w.start").alias("start"), rounded(F.col("p")[0]).alias("p50"), rounded(F.col("p")[1]).alias("p95"))
+    rows = df.where(F.col(at).isNotNull()).select(F.window(at, width)["start"].alias("start"), measured(F.col(value)).alias("v"))
+    p = percentiles(rows, ["start"], F.col("v"), (0.5, 0.95))
+    return p.select("start", rounded(F.col("p")[0]).alias("p50"), rounded(F.col("p")[1]).alias("p95"))
 
 
 def retained(results: DataFrame, jobs: DataFrame, cutoff: Column) -> DataFrame:
@@ -142,23 +187,30 @@ def retained(results: DataFrame, jobs: DataFrame, cutoff: Column) -> DataFrame:
     return results.join(old, "job_id", "left_anti")
 
 
-def first_wins(first: DataFrame, second: DataFrame, keys: list[str], order: Column) -> DataFrame:
+def first_wins(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Union without repetition: of rows with equal keys one of ``first``."""
     both = first.withColumn("_o", F.lit(0)).unionByName(second.withColumn("_o", F.lit(1)))
     rest = [c for c in first.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.min(F.struct("_o", *rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).orderBy(order)
+    return both.groupBy(*keys).agg(F.min(F.struct("_o", *rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def running_total(df: DataFrame, bucket: Column, order: list[str], value: str) -> DataFrame:
-    """Sum of ``value`` over all rows up to each, in order. ``bucket`` must grow with the
-    order: sums of whole buckets are added up first, then a window runs in each bucket, so
-    the rows never meet in one task."""
+def running_total(df: DataFrame, bucket: Column, order: list[str], value: str, by: list[str] | None = None, name: str = "running") -> DataFrame:
+    """Sum of ``value`` over all rows (of a group) up to each, in order. ``bucket`` must grow
+    with the order: sums of whole buckets are added up first, then a window runs in each
+    bucket, so the rows never meet in one task."""
+    by = by or []
     b = df.withColumn("_b", bucket)
-    per = b.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # one row per bucket
-    offsets = per.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return b.join(offsets, "_b").withColumn("running", F.col("_before") + F.sum(value).over(w)).drop("_b", "_before")
+    per = b.groupBy(*by, "_b").agg(F.sum(value).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # one row per bucket
+    offsets = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_b").alias("_o"), F.coalesce(before, F.lit(0)).alias("_before"))
+    w = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)] + [F.col("_b").eqNullSafe(F.col("_o"))]
+    return b.join(offsets, same).withColumn(name, F.col("_before") + F.sum(value).over(w)).drop("_b", "_o", "_before", *[f"_k{i}" for i in range(len(by))])
+
+
+def row_numbers(df: DataFrame, by: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
+    """Places from 1 of the rows of each group, in order, counted by buckets that grow with it."""
+    return running_total(df.withColumn("_one", F.lit(1)), bucket, order, "_one", by, name).drop("_one")
 
 
 def pruned(cache: DataFrame, budget: Column, bucket: Column, order: list[str], size: str) -> DataFrame:
@@ -168,7 +220,8 @@ def pruned(cache: DataFrame, budget: Column, bucket: Column, order: list[str], s
     return run.where(F.lit(total) - (F.col("running") - F.col(size)) > budget)
 
 
-def batches(df: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
-    """Rows in order cut into batches of ``size`` in each group."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+def batches(df: DataFrame, by: str, order: list[str], size: int, bucket: Column | None = None) -> DataFrame:
+    """Rows in order cut into batches of ``size`` in each group; ``bucket`` grows with the order
+    (the first of it, if none is given)."""
+    placed = row_numbers(df, [by], F.col(order[0]) if bucket is None else bucket, order, "batch")
+    return placed.withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("bigint"))

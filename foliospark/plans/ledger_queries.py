@@ -64,11 +64,10 @@ def latency_stats(spark, sf_dir):
     SELECT engine, round(coalesce(quantile_cont(t, 0.95), 0.0), 4) AS p95, round(CASE WHEN coalesce(sum(t), 0) > 0 THEN count(*) / sum(t) ELSE 0.0 END, 4) AS pages_per_second
     FROM (SELECT engine, {_OK('processing_time')} AS t FROM page_results) GROUP BY 1)""")
 def sla_gate(spark, sf_dir):
-    t = ledger.measured(F.col("processing_time"))
-    g = table(spark, sf_dir, "page_results").groupBy("engine").agg(
-        F.round(F.coalesce(F.percentile(t, F.lit(0.95)), F.lit(0.0)), 4).alias("p95"),
-        F.round(F.when(F.coalesce(F.sum(t), F.lit(0.0)) > 0, F.count("*") / F.sum(t)).otherwise(F.lit(0.0)), 4).alias("pages_per_second"),
-    )
+    pages, t = table(spark, sf_dir, "page_results"), ledger.measured(F.col("processing_time"))
+    speed = pages.groupBy("engine").agg(F.round(F.when(F.coalesce(F.sum(t), F.lit(0.0)) > 0, F.count("*") / F.sum(t)).otherwise(F.lit(0.0)), 4).alias("pages_per_second"))
+    p = ledger.percentiles(pages, ["engine"], t, (0.95,)).select(F.col("engine").alias("e"), F.col("p")[0].alias("p"))
+    g = speed.join(p, F.col("engine").eqNullSafe(F.col("e")), "left").withColumn("p95", F.round(F.coalesce("p", F.lit(0.0)), 4))
     return g.select("engine", ((F.col("p95") <= 10.0) & (F.col("pages_per_second") >= 0.2)).alias("passed"), "p95", "pages_per_second")
 
 
@@ -130,7 +129,7 @@ def audit_union(spark, sf_dir):
     j = table(spark, sf_dir, "ocr_jobs").select(F.unix_timestamp("created_at").alias("seen"), F.col("filename").alias("file"), "status", "queue_name")
     a = j.where("queue_name is not null").select("seen", "file", "status", F.lit("queue").alias("origin"))
     b = j.select("seen", "file", "status", F.lit("ledger").alias("origin"))
-    return ledger.first_wins(a, b, ["seen", "file", "status"], F.desc_nulls_last("seen"))
+    return ledger.first_wins(a, b, ["seen", "file", "status"])
 
 
 @query("SELECT id, filename, regexp_replace(regexp_replace(lower(trim(status)), '[\\s-]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS status FROM ocr_jobs WHERE contains(lower(filename), '.pdf') AND status IS NOT NULL")

@@ -10,11 +10,11 @@ from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliospark.arrow import map_batches
 from foliospark.functions.text import normal_space
 from foliospark.operators.cache import content_hash
+from foliospark.operators.ledger import row_numbers
 
 MAX_BYTES = 200 * 1024 * 1024
 #: First bytes of the file types that are taken in, in hexadecimal (fixed values).
@@ -32,12 +32,14 @@ def ingest(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFr
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = F.create_map(*[x for k, v in MAGIC.items() for x in (F.lit(k), F.lit(v))])
+    # by the listing alone first: the filter on the length reaches the source, which reads no larger file
+    listed = files.select("path", suffix.alias("suffix"), "length")
+    early = F.when(known[F.col("suffix")].isNull(), "suffix").when(F.col("length") > max_bytes, "size")
+    out = listed.select("path", "suffix", "length", F.lit(None).cast("string").alias("sha256"), early.alias("reject")).where("reject is not null")
     head = F.hex(F.substring("content", 1, 16))
     fits = F.exists(F.split(known[suffix], r"\|"), lambda m: F.startswith(head, m))
-    reject = (
-        F.when(known[suffix].isNull(), "suffix").when(F.col("length") > max_bytes, "size").when(~fits, "content")
-    )
-    return files.select("path", suffix.alias("suffix"), "length", F.when(F.col("length") <= max_bytes, content_hash(F.col("content"))).alias("sha256"), reject.alias("reject"))
+    read = files.where((F.col("length") <= max_bytes) & known[suffix].isNotNull())
+    return out.unionByName(read.select("path", suffix.alias("suffix"), "length", content_hash(F.col("content")).alias("sha256"), F.when(~fits, "content").alias("reject")))
 
 
 def image_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +47,9 @@ def image_pages(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(IMAGES) + "}").load(path)
     folder = F.regexp_replace("path", r"/[^/]*$", "")
     rows = files.select(folder.alias("folder"), "path", "length")
-    return rows.withColumn("page", F.row_number().over(Window.partitionBy("folder").orderBy("path")))
+    # counted by the beginnings of file names, so that a flat folder isn't one task
+    begins = F.substring(F.regexp_extract("path", r"([^/]*)$", 1), 1, 4)
+    return row_numbers(rows, ["folder"], begins, ["path"], "page").withColumn("page", F.col("page").cast("int"))
 
 
 def gold_texts(spark: SparkSession, path: str) -> DataFrame:

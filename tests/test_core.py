@@ -352,3 +352,18 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_percentiles_of_large_groups_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ledger, "SKETCH_ACCURACY", 100)
+    df = spark.createDataFrame([(None if k % 4 == 3 else k % 3, None if k % 50 == 1 else 0.25 if k % 5 == 0 else (k * 7919 % 10007) / 997.0) for k in range(20000)], "g int, u double")
+    got = {r.g: r for r in ledger.percentiles(df, ["g"], F.col("u"), (0.0, 0.01, 0.5, 0.95, 1.0)).collect()}
+    by = {}
+    for g, u in df.collect():
+        if u is not None:
+            by.setdefault(g, []).append(u)
+    assert set(got) == set(by)
+    assert all(r.n == len(by[g]) and np.allclose(r.p, np.quantile(by[g], (0.0, 0.01, 0.5, 0.95, 1.0))) for g, r in got.items())
+    assert ledger.percentiles(df.limit(0), ["g"], F.col("u"), (0.5,)).collect() == []
