@@ -142,6 +142,28 @@ def models_for(lang: Column) -> Column:
     return F.coalesce(known[F.lower(lang)], F.array(F.lit("en")))
 
 
+#: The commonest words of a language; a word of two languages counts for both (fixed values).
+LANGUAGE_WORDS = {
+    "en": "the of and to in was that it for is on with as had be at by not this are from but have an which or were they".split(),
+    "fr": "le la les des et du une est dans qui que pour au sur ne se pas plus par avec ce il son sont aux ont cette mais".split(),
+    "de": "der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie".split(),
+    "es": "el la los las de que y en un una por con no su para es al lo como más se del fue ha sus pero este entre".split(),
+    "it": "il lo gli le di che è un una per non con del della si da sono dei nel alla come più anche dal ha delle questo".split(),
+    "pt": "o os as do da em um uma para com não que se na no por mais dos ao das foi ele à como mas seu sua".split(),
+    "nl": "de het een van en in is dat op te zijn met voor niet aan er om ook als bij naar maar dan ze uit nog wordt".split(),
+}
+
+
+def language(c: Column) -> Column:
+    """The language whose commonest words a text has most of, the first among equals; English
+    where there are none, or no text."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
+    count = lambda w, lang: F.size(F.filter(w, lambda x: x.isin(LANGUAGE_WORDS[lang])))
+    votes = F.transform(F.array(words), lambda w: F.array(*[count(w, k) for k in LANGUAGE_WORDS]))[0]
+    at = F.array_position(votes, F.array_max(votes))
+    return F.when(F.array_max(votes) == 0, "en").otherwise(F.element_at(F.array(*map(F.lit, LANGUAGE_WORDS)), at.cast("int")))
+
+
 # ---- mathematics ----
 
 #: Marks of a formula, names of Greek letters and operators in order of replacement (fixed values).

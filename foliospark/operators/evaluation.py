@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ET
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +26,32 @@ def cer(gold: Column, got: Column) -> Column:
     return F.when(F.length(g) == 0, F.when(F.length(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(g, h) / F.length(g))
 
 
-def wer(gold: Column, got: Column) -> Column:
-    """Word edits over the number of words: each distinct word of the pair becomes one
-    private character, then characters are compared, so nothing leaves the JVM."""
-    g, h = F.filter(F.split(normal_space(gold), " "), lambda w: w != ""), F.filter(F.split(normal_space(got), " "), lambda w: w != "")
-    words = F.array_distinct(F.concat(g, h))
-    coded = lambda a: F.array_join(F.transform(a, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + F.lit(0x3400)), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(g) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded(g), coded(h)) / F.size(g))
+def word_edits(a: list[str], b: list[str]) -> int:
+    """Least words to insert, delete or replace. Equal ends go first; the rest is numbered and
+    a row of the table is one pass of array operations."""
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    if len(a) > len(b):
+        a, b = b, a
+    numbers: dict[str, int] = {}
+    x, y = ([numbers.setdefault(w, len(numbers)) for w in side] for side in (a, b))
+    other, places = np.array(y), np.arange(len(y) + 1)
+    row = places.copy()
+    for i, w in enumerate(x, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (other != w))
+        # what comes from the left costs one a step: a running minimum over the slanted row
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - places) + places
+    return int(row[-1])
+
+
+def wer(gold: str | None, got: str | None) -> float:
+    """Word edits over the number of words; nothing known is 0 or 1."""
+    a, b = (gold or "").split(), (got or "").split()
+    return word_edits(a, b) / len(a) if a else float(bool(b))
 
 
 def order_tau(gold: list[str], got: list[str]) -> float | None:
@@ -59,30 +79,37 @@ def order_tau(gold: list[str], got: list[str]) -> float | None:
     return None if ties == pairs else score / (pairs * (pairs - ties)) ** 0.5
 
 
-def page_scores(pairs: DataFrame) -> DataFrame:
-    """``page_id, gold, got, confidence`` with CER, WER and order."""
-    s = pairs.withColumn("cer", cer(F.col("gold"), F.col("got"))).withColumn("wer", wer(F.col("gold"), F.col("got")))
-    s = s.select("page_id", "cer", "wer", "confidence", F.length("gold").alias("gold_chars"), F.length("got").alias("got_chars"), tokens(F.col("gold")).alias("a"), tokens(F.col("got")).alias("b"))
-    return map_batches(
+def page_scores(pairs: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """``page_id, gold, got, confidence`` with CER, WER and order, and with how many of
+    the page's facts (``page_id, passed``) hold, of how many."""
+    s = pairs.withColumn("cer", cer(F.col("gold"), F.col("got")))
+    s = s.select("page_id", "cer", normal_space(F.col("gold")).alias("g"), normal_space(F.col("got")).alias("h"), "confidence", F.length("gold").alias("gold_chars"), F.length("got").alias("got_chars"), tokens(F.col("gold")).alias("a"), tokens(F.col("got")).alias("b"))
+    out = map_batches(
         s,
-        lambda: lambda ids, c, w, conf, n, m, a, b: [(i, x, y, order_tau(g or [], h or []), z, p, q) for i, x, y, z, p, q, g, h in zip(ids, c, w, conf, n, m, a, b)],
+        lambda: lambda ids, c, g, h, conf, n, m, a, b: [(i, x, wer(y, z), order_tau(p or [], q or []), w, k, j) for i, x, y, z, w, k, j, p, q in zip(ids, c, g, h, conf, n, m, a, b)],
         "page_id string, cer double, wer double, tau double, confidence double, gold_chars int, got_chars int",
     )
+    if facts is None:
+        return out.withColumn("facts_passed", F.lit(0).cast("bigint")).withColumn("facts", F.lit(0).cast("bigint"))
+    held = facts.groupBy("page_id").agg(F.count_if("passed").alias("facts_passed"), F.count("*").alias("facts"))
+    return out.join(held, "page_id", "left").fillna(0, ["facts_passed", "facts"])
 
 
 def scorecard(scores: DataFrame) -> DataFrame:
     r = lambda c: F.round(F.avg(c) + F.lit(1e-9), 4)
-    return scores.agg(F.count("*").alias("pages"), r("cer").alias("mean_cer"), r("wer").alias("mean_wer"), r("tau").alias("mean_tau"))
+    facts = F.round(F.sum("facts_passed") / F.nullif(F.sum("facts"), F.lit(0)) + F.lit(1e-9), 4)
+    return scores.agg(F.count("*").alias("pages"), r("cer").alias("mean_cer"), r("wer").alias("mean_wer"), r("tau").alias("mean_tau"), F.sum("facts").alias("facts"), facts.alias("fact_rate"))
 
 
 def gate(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """One row: whether the candidate's scores hold against the baseline's; another number of
-    pages can't be compared."""
+    """One row: whether the candidate's scores hold against the baseline's, error rates within
+    their slack and no smaller share of facts; another number of pages can't be compared."""
     a = baseline.select(F.lit(1).alias("one"), *[F.col(c).alias(f"a_{c}") for c in baseline.columns])
     both = a.join(candidate.withColumn("one", F.lit(1)), "one")  # a single row each
     same = F.col("a_pages") == F.col("pages")
     ok = (F.col("mean_cer") <= F.col("a_mean_cer") + CER_SLACK) & (F.col("mean_wer") <= F.col("a_mean_wer") + WER_SLACK)
-    return both.select(same.alias("comparable"), F.when(same, ok).alias("passed"), F.col("a_mean_cer").alias("baseline_cer"), F.col("mean_cer").alias("candidate_cer"))
+    ok = ok & (F.coalesce("fact_rate", F.lit(1.0)) >= F.coalesce("a_fact_rate", F.lit(1.0)))
+    return both.select(same.alias("comparable"), F.when(same, ok).alias("passed"), F.col("a_mean_cer").alias("baseline_cer"), F.col("mean_cer").alias("candidate_cer"), F.col("a_fact_rate").alias("baseline_facts"), F.col("fact_rate").alias("candidate_facts"))
 
 
 def fact_checks(facts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -136,48 +163,68 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def table_similarity(gold: str | None, got: str | None, structure: bool = False) -> float:
-    """1 less the edits between two table trees over the size of the larger. A node costs 1
-    for another tag, 0.5 for other spans, else its text's distance (unless ``structure``);
-    children are aligned in order."""
+@lru_cache(maxsize=1 << 16)
+def _text_cost(x: str, y: str) -> float:
+    return _edits(x, y) / max(len(x), len(y))
+
+
+def table_similarity(gold: str | None, got: str | None) -> tuple[float, float]:
+    """(content, structure): 1 less the edits between two table trees over the size of the
+    larger. A node costs 1 for another tag, 0.5 for other spans, else its text's distance
+    (nothing in ``structure``); children are aligned in order. Both come from one walk over
+    the pairs of nodes that differ."""
+    if gold == got:
+        return 1.0, 1.0
     a, b = _tree(gold), _tree(got)
     if a is None or b is None:
-        return float(a is None and b is None)
-
-    @lru_cache(maxsize=None)
-    def text_cost(x: str, y: str) -> float:
-        return 0.0 if structure or x == y else _edits(x, y) / max(len(x), len(y))
+        return (float(a is None and b is None),) * 2
 
-    def distance(x, y) -> float:
+    def distance(x, y) -> tuple[float, float]:
         if x == y:
-            return 0.0
-        own = 1.0 if x[0] != y[0] else 0.5 if x[1] != y[1] else text_cost(x[2], y[2])
+            return 0.0, 0.0
+        shape = 1.0 if x[0] != y[0] else 0.5 if x[1] != y[1] else 0.0
+        own = shape or (0.0 if x[2] == y[2] else _text_cost(x[2], y[2]))
         # equal children at either end align with each other: no other alignment is cheaper
         xs, ys = x[3], y[3]
-        while xs and ys and xs[0] == ys[0]:
-            xs, ys = xs[1:], ys[1:]
-        while xs and ys and xs[-1] == ys[-1]:
-            xs, ys = xs[:-1], ys[:-1]
-        best = [0.0]
+        i, n, m = 0, len(xs), len(ys)
+        while i < n and i < m and xs[i] == ys[i]:
+            i += 1
+        while n > i and m > i and xs[n - 1] == ys[m - 1]:
+            n, m = n - 1, m - 1
+        xs, ys = xs[i:n], ys[i:m]
+        content, structure = [0.0], [0.0]
         for k in ys:
-            best.append(best[-1] + k[4])
+            content.append(content[-1] + k[4])
+            structure.append(structure[-1] + k[4])
         for p in xs:
-            row = [best[0] + p[4]]
+            c, s = [content[0] + p[4]], [structure[0] + p[4]]
             for j, q in enumerate(ys):
-                row.append(min(best[j] + distance(p, q), best[j + 1] + p[4], row[j] + q[4]))
-            best = row
-        return own + best[-1]
+                d, e = distance(p, q)
+                c.append(min(content[j] + d, content[j + 1] + p[4], c[j] + q[4]))
+                s.append(min(structure[j] + e, structure[j + 1] + p[4], s[j] + q[4]))
+            content, structure = c, s
+        return own + content[-1], shape + structure[-1]
 
-    return max(0.0, min(1.0, 1.0 - distance(a, b) / max(a[4], b[4])))
+    most = max(a[4], b[4])
+    return tuple(max(0.0, min(1.0, 1.0 - d / most)) for d in distance(a, b))  # type: ignore[return-value]
 
 
 def table_scores(pairs: DataFrame) -> DataFrame:
     """``key, gold, got`` with ``similarity`` and ``structure``."""
-    return map_batches(
-        pairs.select("key", "gold", "got"),
-        lambda: lambda ks, gs, hs: [(k, table_similarity(g, h), table_similarity(g, h, True)) for k, g, h in zip(ks, gs, hs)],
-        "key bigint, similarity double, structure double",
-    )
+    return map_batches(pairs.select("key", "gold", "got"), lambda: lambda ks, gs, hs: [(k, *table_similarity(g, h)) for k, g, h in zip(ks, gs, hs)], "key bigint, similarity double, structure double")
+
+
+def table_summary(scores: DataFrame) -> DataFrame:
+    """One row: tables compared and their mean similarities, null without any."""
+    r = lambda c: F.round(F.avg(c) + F.lit(1e-9), 4)
+    return scores.agg(F.count("*").alias("tables"), r("similarity").alias("mean_similarity"), r("structure").alias("mean_structure"))
+
+
+def table_pairs(gold: DataFrame, got: DataFrame) -> DataFrame:
+    """Tables ``page_id, ord, html`` of both sides paired in order on their page; where one side
+    has more the other is null."""
+    a, b = gold.select("page_id", "ord", F.col("html").alias("gold")), got.select("page_id", "ord", F.col("html").alias("got"))
+    return a.join(b, ["page_id", "ord"], "full").withColumn("key", F.xxhash64("page_id", "ord"))
 
 
 def gold_pages(lines: DataFrame) -> DataFrame:

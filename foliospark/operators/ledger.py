@@ -67,6 +67,34 @@ def job_metrics(results: DataFrame) -> DataFrame:
     )
 
 
+def enhanced_wins(pages: DataFrame, first: str, second: str) -> DataFrame:
+    """Per page the row of pass ``first``, unless pass ``second`` (column ``attempt``) read text
+    and is strictly more confident: ``job_id, page, attempt, confidence``."""
+    row = F.struct(F.coalesce("confidence", F.lit(-1.0)).alias("c"), F.col("attempt").alias("a"))
+    per = pages.where("job_id is not null and page is not null").groupBy("job_id", "page").agg(
+        F.max(F.when(F.col("attempt") == first, row)).alias("p"), F.max(F.when((F.col("attempt") == second) & (F.trim("text") != ""), row)).alias("s")
+    )
+    pick = F.when(F.col("p").isNull() | F.coalesce(F.col("s.c") > F.col("p.c"), F.lit(False)), F.col("s")).otherwise(F.col("p"))
+    return per.select("job_id", "page", pick.alias("r")).where("r is not null").select("job_id", "page", F.col("r.a").alias("attempt"), F.when(F.col("r.c") >= 0, F.col("r.c")).alias("confidence"))
+
+
+def bucket_quantile(histogram_: DataFrame, by: str, q: float) -> DataFrame:
+    """A quantile from cumulative buckets ``le, count``, linear within the bucket that holds it;
+    the last finite bound where it lies beyond, null without rows."""
+    bound = F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.expr("try_cast(le as double)"))
+    per = histogram_.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(bound.alias("b"), F.col("count").cast("double").alias("c")))).alias("x"))
+    total = F.element_at("x", -1)["c"]
+    start = F.struct(F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("v"))
+    rank = F.lit(q) * total
+    inner = lambda z, x: z["b"] + (x["b"] - z["b"]) * (rank - z["c"]) / (x["c"] - z["c"])
+    value = lambda z, x: F.when(x["b"] == float("inf"), z["b"]).otherwise(inner(z, x))
+    step = lambda z, x: F.struct(
+        F.when(x["b"] == float("inf"), z["b"]).otherwise(x["b"]).alias("b"), x["c"].alias("c"),
+        F.when(z["v"].isNull() & (x["c"] >= rank) & (x["c"] > z["c"]), value(z, x)).otherwise(z["v"]).alias("v"),
+    )
+    return per.select(by, F.when(total > 0, F.aggregate("x", start, step)["v"]).alias("quantile"))
+
+
 def best_engine(pages: DataFrame, primary: str) -> DataFrame:
     """Per page the primary engine's row, unless another engine is strictly more confident."""
     ok = pages.where("text is not null and error is null and job_id is not null and page is not null")
@@ -132,11 +160,11 @@ def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     return both.select(by, "n", *[r(F.col("p")[k]).alias(n) for k, (n, _) in enumerate(qs)], *[r(F.col(c)).alias(c) for c in ("mean", "least", "most", "std")])
 
 
-def slopes(df: DataFrame, by: str, order: list[str], value: str, warm_up: int = 0, limit: float = 0.05) -> DataFrame:
+def slopes(df: DataFrame, by: str, order: list[str], value: str, warm_up: int = 0, limit: float = 0.05, bucket: Column | None = None) -> DataFrame:
     """Least-squares slope of ``value`` over the place in order, without the first
     ``warm_up`` rows. A constant series has R2 0; fewer than two points pass with slope 0.
-    ``order`` begins with a time: places are counted by day first."""
-    rows = row_numbers(df.where(F.col(value).isNotNull()), [by], F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date")), order, "x")
+    ``bucket`` grows with the order (the day, say): places are counted by it first."""
+    rows = row_numbers(df.where(F.col(value).isNotNull()), [by], F.lit(0) if bucket is None else bucket, order, "x")
     rows = rows.withColumn("x", F.col("x").cast("double")).where(F.col("x") > warm_up)
     y, x = F.col(value), F.col("x")
     fit = rows.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i"), F.regr_r2(y, x).alias("r"), F.var_pop(y).alias("v"))

@@ -57,19 +57,15 @@ def book_paragraph_counts(spark, sf_dir):
     return d.select("doc_id", F.size("p").cast("bigint").alias("paragraphs"), F.size(heads).cast("bigint").alias("headings"))
 
 
-_VOTES = {"en": "the|and|was|that|with|of", "fr": "les|des|dans|pour|une|qui", "de": "der|die|und|das|nicht|von", "es": "los|las|del|por|para|una"}
+_IN = lambda k: ", ".join(f"'{w}'" for w in text.LANGUAGE_WORDS[k])
+_LANGS = list(text.LANGUAGE_WORDS)
 
 
-@query(f"""SELECT doc_id, CASE WHEN m = 0 THEN 'en' {' '.join(f"WHEN {k} = m THEN '{k}'" for k in _VOTES)} END AS detected FROM (SELECT *, greatest({', '.join(_VOTES)}) AS m FROM (
-    SELECT doc_id, {', '.join(f"len(regexp_extract_all(lower(coalesce(text, '')), '(?:^|[^a-zà-ÿ])(?:{p})(?:$|[^a-zà-ÿ])'))  AS {k}" for k, p in _VOTES.items())} FROM documents))""")
+@query(f"""SELECT doc_id, CASE WHEN m = 0 THEN 'en' {' '.join(f"WHEN {k}_ = m THEN '{k}'" for k in _LANGS)} END AS detected FROM (SELECT *, greatest({', '.join(f'{k}_' for k in _LANGS)}) AS m FROM (
+    SELECT doc_id, {', '.join(f"len(list_filter(w, lambda x: x IN ({_IN(k)}))) AS {k}_" for k in _LANGS)} FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS w FROM documents)))""")
 def detect_language(spark, sf_dir):
     """Language by its commonest words; English where none is found."""
-    n = {k: F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"(?:^|[^a-zà-ÿ])(?:{p})(?:$|[^a-zà-ÿ])")) for k, p in _VOTES.items()}
-    d = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in n.items()]).withColumn("m", F.greatest(*_VOTES))
-    best = F.lit("en")
-    for k in reversed(_VOTES):
-        best = F.when((F.col("m") > 0) & (F.col(k) == F.col("m")), k).otherwise(best)
-    return d.select("doc_id", best.alias("detected"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("detected"))
 
 
 @query("SELECT job_id, count(*) FILTER (WHERE error IS NOT NULL) AS failed, count(*) FILTER (WHERE error IS NULL) AS passed, bool_and(error IS NULL OR text IS NULL) AS isolated FROM page_results GROUP BY 1")
@@ -85,10 +81,11 @@ def mean_of_means(spark, sf_dir):
     return p.groupBy("job_id").agg(ledger.rounded(F.avg("c")).alias("mean_confidence"))
 
 
-@query("SELECT id, filename, dlq_reason FROM ocr_jobs WHERE dlq_at IS NOT NULL ORDER BY dlq_at DESC, id LIMIT 100")
+@query("SELECT id, filename, coalesce(dlq_reason, error_message) AS reason FROM ocr_jobs WHERE dlq_at IS NOT NULL OR error_message IS NOT NULL ORDER BY coalesce(dlq_at, completed_at, created_at) DESC NULLS LAST, id LIMIT 100")
 def dead_letters(spark, sf_dir):
-    """The newest hundred jobs that were given up: a top-k report."""
-    return table(spark, sf_dir, "ocr_jobs").where("dlq_at is not null").orderBy(F.desc("dlq_at"), "id").limit(100).select("id", "filename", "dlq_reason")
+    """The newest hundred jobs that were given up or left an error: a top-k report."""
+    lost = table(spark, sf_dir, "ocr_jobs").where("dlq_at is not null or error_message is not null")
+    return lost.orderBy(F.coalesce("dlq_at", "completed_at", "created_at").desc_nulls_last(), "id").limit(100).select("id", "filename", F.coalesce("dlq_reason", "error_message").alias("reason"))
 
 
 @query("""SELECT id, ratio, (ceil(48 * greatest(ratio, 48.0 / 320) / 32) * 32)::INT AS padded FROM (SELECT id, round(greatest(1, length(extracted_text))::DOUBLE / 40, 6) AS ratio FROM ocr_results WHERE extracted_text IS NOT NULL)""")

@@ -77,7 +77,7 @@ def sla_gate(spark, sf_dir):
     SELECT job_id, n, round(CASE WHEN n < 2 THEN 0.0 ELSE s END, 6) AS slope, round(CASE WHEN n < 2 THEN 0.0 ELSE i END, 6) AS intercept,
       round(CASE WHEN n < 2 OR v <= 1e-12 THEN 0.0 ELSE r END, 6) AS r2, (n < 2 OR s <= 0.05) AS passed FROM f""")
 def leak_slope(spark, sf_dir):
-    return ledger.slopes(table(spark, sf_dir, "ocr_metrics"), "job_id", ["timestamp", "id"], "peak_memory_mb", warm_up=1)
+    return ledger.slopes(table(spark, sf_dir, "ocr_metrics"), "job_id", ["timestamp", "id"], "peak_memory_mb", warm_up=1, bucket=F.to_date("timestamp"))
 
 
 @query("""SELECT job_id, count(*) AS samples, arg_min(peak_memory_mb, (timestamp, id)) AS first, max(peak_memory_mb) AS peak, round(avg(peak_memory_mb) + 1e-9, 4) AS mean,

@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import export_queries, ledger_queries, page_queries, stream_queries, text_queries  # noqa: E402, F401
+from . import export_queries, ledger_queries, page_queries, queue_queries, stream_queries, text_queries  # noqa: E402, F401

@@ -83,11 +83,12 @@ def pii_synthetic(spark, sf_dir):
 
 
 @query(
-    "WITH m AS (SELECT (regexp_matches(t, '\\[REDACTED-[A-Z]+(-KEY)?\\]')) AS hit, t FROM (SELECT " + _redact_sql("text") + " AS t FROM documents)) "
+    "WITH m AS (SELECT (regexp_matches(t, '\\[REDACTED-[A-Z]+(-KEY)?\\]')) AS hit, t FROM (SELECT " + _redact_sql("text") + " AS t FROM (SELECT text || ' reach ' || doc_id || '@mail.example or 10.0.0.' || (doc_id % 250) AS text FROM documents))) "
     "SELECT kind, count(*) AS occurrences FROM (SELECT unnest(regexp_extract_all(t, '\\[REDACTED-([A-Z-]+)\\]', 1)) AS kind FROM m WHERE hit) GROUP BY 1"
 )
 def pii_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(text.redact(F.col("text")), F.lit(r"\[REDACTED-([A-Z-]+)\]"), F.lit(1))).alias("kind"))
+    signed = F.concat("text", F.lit(" reach "), F.col("doc_id").cast("string"), F.lit("@mail.example or 10.0.0."), (F.col("doc_id") % 250).cast("string"))
+    d = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(text.redact(signed), F.lit(r"\[REDACTED-([A-Z-]+)\]"), F.lit(1))).alias("kind"))
     return d.groupBy("kind").agg(F.count("*").alias("occurrences"))
 
 

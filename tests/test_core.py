@@ -171,10 +171,13 @@ def brute_edits(a, b):
 def test_error_rates_are_brute_force(spark):
     rng = random.Random(8)
     pairs = [(" ".join(rng.choice(["un", "deux", "trois", "é"]) for _ in range(rng.randint(1, 15))), " ".join(rng.choice(["un", "deux", "trois", "x"]) for _ in range(rng.randint(0, 15)))) for _ in range(40)]
-    df = spark.createDataFrame(pairs, "g string, h string").select("*", evaluation.cer(F.col("g"), F.col("h")).alias("c"), evaluation.wer(F.col("g"), F.col("h")).alias("w"))
+    df = spark.createDataFrame(pairs, "g string, h string").select("*", evaluation.cer(F.col("g"), F.col("h")).alias("c"))
     for r in df.collect():
-        assert r.c == pytest.approx(brute_edits(r.g, r.h) / len(r.g)) and r.w == pytest.approx(brute_edits(r.g.split(), r.h.split()) / len(r.g.split()))
-    assert one(spark, evaluation.wer(F.lit(""), F.lit("")), x=1) == 0.0 and one(spark, evaluation.cer(F.lit(" "), F.lit("a")), x=1) == 1.0
+        assert r.c == pytest.approx(brute_edits(r.g, r.h) / len(r.g)) and evaluation.wer(r.g, r.h) == pytest.approx(brute_edits(r.g.split(), r.h.split()) / len(r.g.split()))
+    assert evaluation.wer("", "") == 0.0 == evaluation.wer(None, None) and evaluation.wer("", "a") == 1.0
+    many = [f"w{k}" for k in range(60_000)]  # more words than a character set has letters
+    assert evaluation.wer(" ".join(many), " ".join(many[:30_000] + ["x"] + many[30_001:])) == pytest.approx(1 / 60_000)
+    assert one(spark, evaluation.cer(F.lit(" "), F.lit("a")), x=1) == 1.0
 
 
 def test_order():
@@ -187,10 +190,11 @@ def test_order():
 def test_table_similarity():
     t = lambda *rows_: "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows_) + "</table>"
     a = t(("a", "b"), ("1", "$10,000"))
-    assert evaluation.table_similarity(a, a) == 1.0 and 0 < evaluation.table_similarity(a, t(("a", "b"), ("1", "2"), ("3", "4"))) < 1
+    similar = lambda x, y: evaluation.table_similarity(x, y)[0]
+    assert similar(a, a) == 1.0 and 0 < similar(a, t(("a", "b"), ("1", "2"), ("3", "4"))) < 1
     money = t(("a", "b"), ("1", "$10,500"))
-    assert evaluation.table_similarity(a, money, True) == 1.0 and 0.8 < evaluation.table_similarity(a, money) < 1.0
-    assert evaluation.table_similarity(None, "x") == 1.0 and evaluation.table_similarity(a, None) == 0.0
+    assert evaluation.table_similarity(a, money)[1] == 1.0 and 0.8 < similar(a, money) < 1.0
+    assert similar(None, "x") == 1.0 and similar(a, None) == 0.0
 
 
 def test_facts_and_gate(spark):
@@ -200,7 +204,8 @@ def test_facts_and_gate(spark):
     assert {r.fact_no: r.passed for r in evaluation.fact_checks(df, pages).collect()} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: False}
     with pytest.raises(Exception):
         evaluation.fact_checks(df.withColumn("type", F.lit("other")), pages).collect()
-    card = lambda n, c, w: spark.createDataFrame([(n, c, w, 1.0)], "pages int, mean_cer double, mean_wer double, mean_tau double")
+    card = lambda n, c, w, f=1.0: spark.createDataFrame([(n, c, w, 1.0, f)], "pages int, mean_cer double, mean_wer double, mean_tau double, fact_rate double")
+    assert evaluation.gate(card(2, 0.1, 0.2, 0.9), card(2, 0.1, 0.2, 0.8)).collect()[0].passed is False
     assert [evaluation.gate(card(2, 0.1, 0.2), x).collect()[0].passed for x in (card(2, 0.105, 0.21), card(2, 0.106, 0.2), card(3, 0.1, 0.2))] == [True, False, None]
 
 
