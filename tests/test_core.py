@@ -372,3 +372,78 @@ def test_percentiles_of_large_groups_are_exact(spark, monkeypatch):
     assert set(got) == set(by)
     assert all(r.n == len(by[g]) and np.allclose(r.p, np.quantile(by[g], (0.0, 0.01, 0.5, 0.95, 1.0))) for g, r in got.items())
     assert ledger.percentiles(df.limit(0), ["g"], F.col("u"), (0.5,)).collect() == []
+
+
+# ---- queue ----
+
+
+def test_dequeue_order_and_leases(spark):
+    from foliospark.operators import queue
+
+    jobs = spark.createDataFrame([(1, "low", 1), (2, "HIGH", 5), (3, None, 0), (4, "default", None), (5, "high", 4), (6, "other", 0)], "id int, tier string, h int")
+    jobs = jobs.withColumn("at", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, h)"))
+    got = [r.id for r in queue.dequeue_order(jobs, "tier", "at", "id").orderBy("place").collect()]
+    assert got == [5, 2, 4, 3, 6, 1]
+    now = F.lit("2024-01-01 10:00:00").cast("timestamp")
+    workers = spark.createDataFrame([("a", "2024-01-01 09:59:30"), ("b", "2024-01-01 08:00:00"), ("b", None), (None, None)], "worker_id string, t string").selectExpr("worker_id", "cast(t as timestamp) AS last_seen")
+    leases = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "job_id int, worker_id string").withColumn("leased_at", now)
+    assert {r.job_id: r.reason for r in queue.lost_leases(leases, workers, now, 60).collect()} == {2: "silent worker", 3: "unknown worker", 4: "unknown worker"}
+    assert queue.lost_leases(leases.limit(0), workers, now, 60).collect() == []
+
+
+def test_paths_and_heartbeats(spark):
+    from foliospark.operators import queue
+
+    paths = {"/etc/passwd": False, "/etc": False, "/etcetera/x": True, "/data/../etc/x": False, "a/b..c": True, "": False, None: False, "x\0y": False}
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", queue.safe_path(F.col("p")).alias("ok"))
+    assert {r.p: r.ok for r in df.collect()} == paths
+    beats = spark.createDataFrame([(120.0, -5), (-1.0, 7), (float("nan"), None), (None, 3)], "cpu_percent double, rss_bytes bigint")
+    assert [(r[0], r[1]) for r in queue.signs_of_life(beats).collect()] == [(100.0, 0), (0.0, 7), (None, None), (None, 3)]
+
+
+def test_quantile_of_buckets(spark):
+    h = spark.createDataFrame([("a", "1.0", 0), ("a", "2.0", 10), ("a", "+Inf", 10), ("b", "1.0", 0), ("b", "+Inf", 4), ("c", "1.0", 0), ("c", "+Inf", 0)], "g string, le string, count bigint")
+    assert {r.g: r.quantile for r in ledger.bucket_quantile(h, "g", 0.5).collect()} == {"a": 1.5, "b": 1.0, "c": None}
+
+
+# ---- containers ----
+
+
+def test_word_file():
+    from foliospark.sources import containers
+
+    source = "# One\nplain <b> & text\x01\n\n| a | b |\n| --- | --- |\n| 1 | 2 | 3 |\n---\n### Deep"
+    data = containers.docx("T & U", source)
+    assert containers.docx_text(data) == "# One\nplain <b> & text\n\n| a | b |  |\n| 1 | 2 | 3 |\n---\n### Deep"
+    assert data == containers.docx("T & U", source) and containers.docx_text(containers.docx("", "")) == ""
+
+
+def test_epub_file():
+    from foliospark.sources import containers
+
+    data = containers.epub("A <title>", [("One", "first\nline\n\nsecond & last"), ("Two", "")])
+    assert containers.epub_chapters(data) == [("One", "first line\n\nsecond & last"), ("Two", "")]
+    with zipfile.ZipFile(__import__("io").BytesIO(data)) as z:
+        assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
+
+
+def test_pdf_file(spark):
+    from foliospark.sources import containers
+
+    data = containers.searchable_pdf([(600, 800, [("Hello (big) \\ world", 50, 100, 12), ("second é", 50, 120, 12)]), (600, 800, [])])
+    pdf = containers.Pdf(data)
+    assert [pdf.page_text(k) for k in range(len(pdf.pages))] == ["Hello (big) \\ world\nsecond é", ""]
+    assert containers.page_count("PDF", data) == 2 and containers.page_count("pdf", b"junk") is None and containers.page_count("png", b"") == 1 and containers.page_count("odt", b"") is None
+    rows = containers.native_pages(spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"%PDF-x")), ("c", bytearray(b"no"))], "path string, content binary")).collect()
+    assert [(r.path, r.page, bool(r.error)) for r in rows] == [("a", 1, False), ("a", 2, False), ("c", None, True)]
+    # other writers: octal and hexadecimal strings, kerned arrays, moves
+    ops = b"BT /F1 9 Tf 10 700 Td [(Kern) -20 (ed) -300 (words)] TJ 0 -12 Td (oct\\101l) Tj T* <48 69> Tj ET"
+    body = b"%PDF-1.4\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n2 0 obj\n<</Type/Pages/Kids[3 0 R]/Count 1>>\nendobj\n3 0 obj\n<</Type/Page/Parent 2 0 R/Contents [4 0 R]>>\nendobj\n4 0 obj\n<</Length 9>>\nstream\n" + ops + b"\nendstream\nendobj\n"
+    assert containers.Pdf(body).page_text(0) == "Kerned words\noctAl\nHi"
+
+
+def test_page_ranges(spark):
+    from foliospark.sources import containers
+
+    got = containers.page_ranges(spark.createDataFrame([("a", 25), ("b", 10), ("c", 0), ("d", None)], "path string, pages int")).orderBy("path", "first").collect()
+    assert [(r.path, r["first"], r["last"]) for r in got] == [("a", 1, 10), ("a", 11, 20), ("a", 21, 25), ("b", 1, 10)]
