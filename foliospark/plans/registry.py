@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import container_queries, export_queries, ledger_queries, page_queries, queue_queries, stream_queries, text_queries  # noqa: E402, F401
+from . import container_queries, export_queries, image_queries, ledger_queries, page_queries, queue_queries, stream_queries, text_queries  # noqa: E402, F401

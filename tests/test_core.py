@@ -447,3 +447,121 @@ def test_page_ranges(spark):
 
     got = containers.page_ranges(spark.createDataFrame([("a", 25), ("b", 10), ("c", 0), ("d", None)], "path string, pages int")).orderBy("path", "first").collect()
     assert [(r.path, r["first"], r["last"]) for r in got] == [("a", 1, 10), ("a", 11, 20), ("a", 21, 25), ("b", 1, 10)]
+
+
+# ---- images ----
+
+
+def _ruled(rows=3, cols=4, h=300, w=400):
+    import numpy as np
+
+    p = np.full((h, w), 255, dtype=np.uint8)
+    for k in range(rows + 1):
+        p[20 + k * 80 : 22 + k * 80, 20 : 20 + cols * 80 + 2] = 0
+    for k in range(cols + 1):
+        p[20 : 20 + rows * 80 + 2, 20 + k * 80 : 22 + k * 80] = 0
+    return p
+
+
+def test_components_are_brute_force():
+    import numpy as np
+
+    from foliospark.operators import images
+
+    rng = np.random.default_rng(4)
+    for density in (0.2, 0.5, 0.8):
+        mask = rng.random((30, 40)) < density
+        labels, boxes = images.components(mask)
+        seen, areas = np.zeros_like(mask), []
+        for y, x in zip(*np.nonzero(mask)):
+            if not seen[y, x]:
+                stack, own = [(y, x)], []
+                seen[y, x] = True
+                while stack:
+                    a, b = stack.pop()
+                    own.append((a, b))
+                    for i in range(max(0, a - 1), min(30, a + 2)):
+                        for j in range(max(0, b - 1), min(40, b + 2)):
+                            if mask[i, j] and not seen[i, j]:
+                                seen[i, j] = True
+                                stack.append((i, j))
+                areas.append(len(own))
+                assert len({labels[p] for p in own}) == 1
+        assert sorted(boxes[:, 4]) == sorted(areas) and (labels > 0).sum() == mask.sum()
+
+
+def test_page_signals():
+    import numpy as np
+
+    from foliospark.operators import images
+
+    rng = np.random.default_rng(1)
+    flat = np.full((200, 300), 200, dtype=np.uint8)
+    noisy = np.clip(flat + rng.normal(0, 12, flat.shape), 0, 255).astype(np.uint8)
+    assert images.noise_sigma(flat) == 0.0 and abs(images.noise_sigma(noisy) - 12) < 1.5 and images.noise_sigma(images.denoise(noisy)) < 8
+    text_ = np.full((300, 400), 255, dtype=np.uint8)
+    for y in range(30, 270, 24):
+        for x in range(30, 370, 14):
+            text_[y : y + 10, x : x + 8] = 0
+    assert images.skew(text_) == 0.0 and images.glyph_height(text_) == 10.0 and images.glyph_height(flat) is None
+    for angle in (-3.0, 2.5):
+        turned = images.deskew(text_, -angle)
+        assert abs(images.skew(turned) - angle) <= 0.3
+        mended, _, found = images.preprocessed(turned)
+        assert abs(images.skew(mended)) <= 0.3 and abs(found - angle) <= 0.3
+    x = np.arange(400)
+    bend = (20 * ((x - 200) / 200.0) ** 2).astype(int)
+    warped = np.full((340, 400), 255, dtype=np.uint8)
+    for c in range(400):
+        warped[bend[c] : bend[c] + 300, c] = text_[:, c]
+    mended, most = images.dewarped(warped)
+    assert most > 8 and images.dewarped(mended)[1] < 4 and images.dewarped(text_)[1] < 4
+
+
+def test_cells_of_a_ruled_table(spark):
+    from foliospark.operators import images
+
+    got = images.table_cells(_ruled())
+    assert len(got) == 12 and got[0] == (22, 22, 100, 100) and got[-1] == (262, 182, 340, 260)
+    p = _ruled()
+    rows_ = images.cells(spark.createDataFrame([(1, 300, 400, bytearray(p.tobytes())), (2, 10, 10, bytearray(b"x"))], "page_id bigint, height int, width int, pixels binary")).collect()
+    assert len(rows_[0].cells) == 12 and rows_[0].error is None and "bytes" in rows_[1].error
+    assert images.table_cells(p * 0 + 255) == []
+
+
+def test_tensors():
+    import numpy as np
+
+    from foliospark.operators import images
+
+    page = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    x = images.normalised(page)
+    assert x.shape == (3, 3, 4) and x.dtype == np.float32 and x[1, 2, 3] == pytest.approx((11 / 255 - 0.456) / 0.224, rel=1e-5)
+    batch, sizes = images.padded([x, images.normalised(np.zeros((40, 10), dtype=np.uint8))])
+    assert batch.shape == (2, 3, 64, 32) and sizes == [(3, 4), (40, 10)] and (batch[0, :, 3:] == 0).all() and (batch[0, :, :3, :4] == x).all()
+    scores = np.zeros((100, 200))
+    scores[20:40, 30:120] = 0.9
+    scores[60:64, 10:14] = 0.35  # too weak
+    scores[80, 80] = 1.0  # too small
+    (corners, score), = images.text_boxes(scores, 200, 400)
+    assert 0.8 < score <= 0.9 and corners[0][0] < 60 and corners[0][1] < 40 and corners[2][0] > 240 and corners[2][1] > 80
+    tilted = np.zeros((100, 200))
+    for k in range(100):
+        tilted[30 + k // 4 : 42 + k // 4, 40 + k] = 1.0
+    (corners, _), = images.text_boxes(tilted, 100, 200)
+    slope = (corners[1][1] - corners[0][1]) / (corners[1][0] - corners[0][0])
+    assert abs(slope - 0.25) < 0.08
+
+
+def test_crop_of_a_quadrilateral():
+    import numpy as np
+
+    from foliospark.operators import images
+
+    page = np.tile(np.arange(100, dtype=np.uint8) * 2, (80, 1))
+    straight = images.crop(page, [(10, 20), (50, 20), (50, 40), (10, 40)])
+    assert straight.shape == (20, 40) and (straight == page[20:40, 10:50]).all()
+    high = images.crop(page, [(10, 10), (20, 10), (20, 60), (10, 60)])
+    assert high.shape == (10, 50)
+    turned = images.deskew(page, 10)
+    assert images.crop(turned, [(30, 30), (60, 35), (57, 50), (27, 45)]).shape[0] in (14, 15, 16)
