@@ -9,8 +9,8 @@ spelling of accented letters, page furniture and wrapped lines don't hide a leak
 
 Both sides are folded first (:func:`foliospark.llm.base.fold`). One set of tables holds all
 items, so the documents are read once and never shuffled. Its size is bounded in words
-(``PASS_WORDS``, about 200 bytes each in a Python worker), measured before; only more items
-than that, some twenty thousand of fifty words, are searched in further passes.
+(``PASS_WORDS``, about 350 bytes each in a Python worker), measured before; only more items
+than that, some twelve thousand of fifty words, are searched in further passes.
 
 Null or empty items and documents give no rows. An item or document that is there twice
 under two ids gives its pairs for both ids; wholly repeated rows give one row.
@@ -18,7 +18,6 @@ under two ids gives its pairs for both ids; wholly repeated rows give one row.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from difflib import SequenceMatcher
 from math import ceil
 
@@ -30,7 +29,9 @@ from foliospark.session import cut
 from .base import fold_words, map_batches, require
 
 RUN = 4
-PASS_WORDS = 1_000_000
+PASS_WORDS = 600_000
+#: The before-part of a pattern is one number of at most two words: no run may be longer.
+assert RUN <= 4
 #: Share of an item's words that must stand together in the document.
 MIN_SHARE = 0.5
 #: Words of the document that furniture may put between two parts of one passage.
@@ -49,38 +50,38 @@ PAIRS = "item_id bigint, doc_id bigint, item_words int, stretch_words int, match
 
 class WuManber:
     """Shift tables with suffix buckets, one for each length of patterns, over runs of words of
-    all items. Words are numbered, so that a block of two is one number."""
+    all items. Words are numbered, so that a block of two is one number; a bucket holds the
+    patterns by what stands before the suffix (at most two words, one number as well)."""
 
     def __init__(self, items: list[list[str]], runs: list[int]):
         self.numbers: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.starts: list[int] = []
-        for words in items:
-            self.starts.append(len(self.flat))
-            self.flat += [self.numbers.setdefault(w, len(self.numbers)) for w in words]
-        self.base = len(self.numbers)
         self.tables: dict[int, dict] = {}
-        for words, start, run in zip(items, self.starts, runs):
+        numbered = [[self.numbers.setdefault(w, len(self.numbers)) for w in words] for words in items]
+        self.base = base = len(self.numbers)
+        for item, (words, run) in enumerate(zip(numbered, runs)):
             table = self.tables.setdefault(run, {})
-            for i in range(start, start + len(words) - run + 1):
-                pattern = self.flat[i : i + run]
-                if run == 1:
-                    table[pattern[0]] = (*table.get(pattern[0], ()), i)
-                    continue
-                for k in range(1, run):
-                    block, move = pattern[k - 1] * self.base + pattern[k], run - 1 - k
+            for i in range(len(words) - run + 1):
+                pattern = words[i : i + run]
+                for k in range(1, run - 1):
+                    block, move = pattern[k - 1] * base + pattern[k], run - 1 - k
                     old = table.get(block)
-                    if not move:  # the bucket of patterns that end so
-                        table[block] = (*old, i) if type(old) is tuple else (i,)
-                    elif old is None or (type(old) is int and old > move):
+                    if old is None or (type(old) is int and old > move):
                         table[block] = move
+                suffix = pattern[-1] if run == 1 else pattern[-2] * base + pattern[-1]
+                bucket = table.get(suffix)
+                if type(bucket) is not dict:
+                    bucket = table[suffix] = {}
+                bucket.setdefault(self._before(pattern, run - 2), []).append((item, i))
+
+    def _before(self, words: list[int], end: int) -> int:
+        return -1 if end < 1 else words[0] if end == 1 else words[end - 2] * self.base + words[end - 1]
 
     def search(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """item -> [(position in the item, position in ``words``)] of confirmed runs."""
         hits: dict[int, list[tuple[int, int]]] = {}
         number = self.numbers.get
         doc = [number(w, -1) for w in words]
-        flat, starts, base, n = self.flat, self.starts, self.base, len(doc)
+        base, n = self.base, len(doc)
         for run, table in self.tables.items():
             look, longest, at = table.get, run - 1, run - 1
             while at < n:
@@ -89,19 +90,20 @@ class WuManber:
                     at += run
                     continue
                 if run == 1:
-                    found = look(b, ())
+                    found = look(b, 1)
                 else:
                     a = doc[at - 1]
                     found = look(a * base + b, longest) if a >= 0 else longest
-                    if type(found) is int:
-                        at += found
-                        continue
+                if type(found) is int:
+                    at += found
+                    continue
                 first = at - run + 1
-                window = doc[first : at + 1]
-                for i in found:
-                    if flat[i : i + run] == window:
-                        item = bisect_right(starts, i) - 1
-                        hits.setdefault(item, []).append((i - starts[item], first))
+                before = -1 if run < 3 else doc[first] if run == 3 else doc[first] * base + doc[first + 1] if doc[first] >= 0 <= doc[first + 1] else -2
+                for item, i in found.get(before, ()):
+                    if item in hits:
+                        hits[item].append((i, first))
+                    else:
+                        hits[item] = [(i, first)]
                 at += 1
         return hits
 
