@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
-from foliospark.arrow import map_batches
 from foliospark.functions.chars import strip
 
+from .ledger import running_total
+
 #: Forms of headings and footnotes, and the margins of a page (fixed values).
 CHAPTER = r"(?i)^(CHAPTER|PART|BOOK|SECTION|MODULE|ACT|UNIT)\s+([0-9IVXLCDM]+|[A-Z]+)\b"
 NUMBERED = r"^([0-9]+\.[0-9]+(\.[0-9]+)*)\s+(.*)"
@@ -54,51 +58,89 @@ def footnotes(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("is_footnote", (n >= 2) & low & F.coalesce(strip(F.col("text")).rlike(FOOTNOTE), F.lit(False)))
 
 
-def pack(parts: list[tuple[str, int, str | None]], limit: int) -> list[tuple[str, str, int, int, int]]:
-    """(section, content, tokens, first page, last page) of greedy chunks over ``(text, page,
-    heading or None)``. A heading ends the chunk before it and opens the next; a chunk ends
-    with the text that brings it to the limit."""
-    out, open_, pages, words, section = [], [], [], 0, "General"
-
-    def close() -> None:
-        nonlocal open_, pages, words
-        if open_:
-            out.append((section, "\n\n".join(open_), max(1, words * 4 // 3), min(pages), max(pages)))
-        open_, pages, words = [], [], 0
-
-    for text, page, heading in parts:
-        if heading is not None:
-            close()
-            section = heading
-            open_, pages, words = [f"### {heading}"], [page], 1 + len(heading.split())
-            continue
-        open_.append(text)
-        pages.append(page)
-        words += len(text.split())
-        if words * 4 // 3 >= limit:
-            close()
-    close()
-    return out
+def footnote_links(blocks: DataFrame) -> DataFrame:
+    """Footnotes with their ``mark`` and the ``anchor``, the last block before them on the page
+    that isn't a footnote and holds the mark; null where none does."""
+    f = footnotes(blocks).withColumn("mark", F.regexp_extract(strip(F.col("text")), FOOTNOTE, 1))
+    notes = f.where("is_footnote").select("doc", "page", F.col("seq").alias("note"), "mark", F.col("text").alias("note_text"))
+    body = f.where("not is_footnote").select("doc", "page", "seq", "text")
+    hits = notes.join(body, ["doc", "page"]).where((F.col("seq") < F.col("note")) & F.contains("text", F.regexp_replace("mark", r"\.$", "")))
+    anchors = hits.groupBy("doc", "page", "note").agg(F.max("seq").alias("anchor"))
+    return notes.join(anchors, ["doc", "page", "note"], "left")
+
+
+def sections(paragraphs: DataFrame) -> DataFrame:
+    """``doc, seq, page, text, level, kind, title`` with ``section``, the headings so far in the
+    document, and ``path``: the document's title, its last chapter and the heading itself, as
+    far as there are any. Headings are counted by thousands of paragraphs first; only headings
+    reach a window of the document. Blank texts are left out."""
+    p = paragraphs.where(strip(F.col("text")) != "").withColumn("_h", F.col("level").isNotNull().cast("int"))
+    numbered = running_total(p, F.floor(F.col("seq") / 1000), ["seq"], "_h", ["doc"], "section").drop("_h").withColumn("section", F.col("section").cast("int"))
+    heads, own = numbered.where("level is not null"), strip(F.col("text"))
+    chapter = F.last(F.when(F.col("level") == 1, own), True).over(Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    paths = heads.select("doc", "section", F.array_compact(F.array("title", chapter, F.when(F.col("level") > 1, own))).alias("path"))
+    top = F.array_compact(F.array("title"))
+    return numbered.join(paths, ["doc", "section"], "left").withColumn("path", F.coalesce("path", F.when(F.size(top) > 0, top).otherwise(F.array(F.lit("General")))))
+
+
+class Packer:
+    """Greedy chunks of a section, row by row: a heading opens the first; a chunk ends with the
+    text that brings it to the limit. Headings themselves aren't measured against it."""
+
+    def __init__(self, limit: int):
+        self.limit, self.key, self.chunk = limit, None, 0
+        self.texts: list[str] = []
+        self.pages: list[int] = []
+        self.kinds: list[str] = []
+        self.path: list[str] = []
+        self.words = 0
+
+    def close(self) -> list[tuple]:
+        if not self.texts:
+            return []
+        self.chunk += 1
+        row = (*self.key, self.chunk, self.path, sorted(set(self.kinds)), "\n\n".join(self.texts), max(1, self.words * 4 // 3), min(self.pages), max(self.pages))
+        self.texts, self.pages, self.kinds, self.words = [], [], [], 0
+        return [row]
+
+    def add(self, key: tuple, page: int, text: str, heading: bool, kind: str, path: list[str]) -> list[tuple]:
+        out = []
+        if key != self.key:
+            out = self.close() if self.key is not None else []
+            self.key, self.chunk = key, 0
+        self.path = path
+        text = f"### {text}" if heading else text
+        self.texts.append(text)
+        self.pages.append(page)
+        self.kinds.append(kind)
+        self.words += len(text.split())
+        return out + self.close() if not heading and self.words * 4 // 3 >= self.limit else out
+
+
+CHUNKS = "doc bigint, section int, chunk int, path array<string>, kinds array<string>, content string, tokens int, page_start int, page_end int"
 
 
 def chunks(paragraphs: DataFrame, limit: int = 512) -> DataFrame:
-    """Chunks of ``doc, chapter, seq, page, text, heading``. A chapter is packed by itself, so
-    no task holds more than one; page ranges are those of the chunk's own texts."""
-    item = F.struct("seq", "text", "page", "heading")
-    per = paragraphs.where(strip(F.col("text")) != "").groupBy("doc", "chapter").agg(F.array_sort(F.collect_list(item)).alias("parts"))
-
-    def make():
-        def run(docs, chapters, all_parts):
-            rows = []
-            for d, c, parts in zip(docs, chapters, all_parts):
-                got = pack([(p["text"].strip(), p["page"], p["text"].strip() if p["heading"] else None) for p in parts], limit)
-                rows += [(d, c, k + 1, *x) for k, x in enumerate(got)]
-            return rows
-
-        return run
-
-    out = map_batches(per, make, "doc bigint, chapter int, chunk int, section string, content string, tokens int, page_start int, page_end int")
-    return out.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws(":", F.col("doc").cast("string"), F.col("chapter").cast("string"), F.col("chunk").cast("string"), "content"), 256), 1, 8))
+    """Chunks of ``doc, seq, page, text, level, kind, title`` by section, with their heading path,
+    the kinds of their paragraphs, and the pages of their own texts. Sections are packed by
+    themselves; their rows stream through in order, so a task holds one open chunk, however
+    long a section is."""
+    cols = ["doc", "section", F.coalesce("page", F.lit(0)).alias("page"), strip(F.col("text")).alias("text"), F.col("level").isNotNull().alias("heading"), F.coalesce("kind", F.lit("text")).alias("kind"), "path"]
+    near = sections(paragraphs).repartition("doc", "section").sortWithinPartitions("doc", "section", "seq").select(*cols)
+    out = _parse_datatype_string(CHUNKS)
+
+    def run(batches):
+        arrow, packer = to_arrow_schema(out), Packer(limit)
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+        for b in batches:
+            rows = [r for d, s, *rest in zip(*[c.to_pylist() for c in b.columns]) for r in packer.add((d, s), *rest)]
+            if rows:
+                yield table(rows)
+        if rows := packer.close():
+            yield table(rows)
+
+    packed = near.mapInArrow(run, out)
+    return packed.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws(":", F.col("doc").cast("string"), F.col("section").cast("string"), F.col("chunk").cast("string"), "content"), 256), 1, 8))
 
 
 def page_windows(pages: DataFrame, size: int = 50) -> DataFrame:

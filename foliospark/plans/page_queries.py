@@ -4,6 +4,7 @@ arithmetic that Spark and SQL share, as the tables hold no page geometry."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.functions import chars, text
 from foliospark.operators import book, evaluation, layout, ledger, tables
@@ -53,8 +54,6 @@ def layout_columns(spark, sf_dir):
     SELECT *, CASE WHEN ymin - lag(ymax) OVER (PARTITION BY page_id ORDER BY line) > greatest(25.0, 2.2 * glyph) THEN 1 ELSE 0 END AS new FROM (
       SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ymin, ord) AS line FROM ({_SPANS})))""")
 def layout_blocks(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     s = _spans(spark, sf_dir).withColumn("line", F.row_number().over(Window.partitionBy("page_id").orderBy("ymin", "ord")))
     one = s.withColumn("side", F.lit(0)).withColumn("col", F.lit(0))
     return layout.blocks(one).select("page_id", "ord", "block")
@@ -198,11 +197,39 @@ def toc_outline(spark, sf_dir):
     return book.contents(_paragraphs(spark, sf_dir))
 
 
+def _levelled(spark, sf_dir):
+    level = F.when(F.col("kind") == "title", 1).when(F.col("kind") == "section_header", 2)
+    names = table(spark, sf_dir, "ocr_jobs").select(F.col("id").alias("doc"), F.regexp_extract("filename", r"([^/]*)$", 1).alias("title"))
+    return _paragraphs(spark, sf_dir).withColumn("level", level).join(names, "doc", "left")
+
+
 @query()
 def semantic_chunks(spark, sf_dir):
-    """Chunks of every book by chapter (a fold; tested against brute force)."""
-    p = _paragraphs(spark, sf_dir)
-    return book.chunks(p.withColumn("heading", F.col("kind") != "text"))
+    """Chunks of every book by section (a fold; tested against brute force)."""
+    return book.chunks(_levelled(spark, sf_dir))
+
+
+@query(f"""WITH p AS (SELECT job_id AS doc, para_id AS seq, {_STRIP('text')} AS t, CASE WHEN is_heading AND heading_level = 1 THEN 1 WHEN is_heading THEN 2 END AS level, regexp_extract(filename, '([^/]*)$', 1) AS title
+      FROM book_paragraphs LEFT JOIN ocr_jobs ON job_id = id WHERE job_id IS NOT NULL AND {_STRIP('text')} <> ''),
+    n AS (SELECT *, sum((level IS NOT NULL)::INT) OVER w AS section, last_value(CASE WHEN level = 1 THEN t END IGNORE NULLS) OVER w AS h1 FROM p WINDOW w AS (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT doc, section::INT AS section, count(*) AS paragraphs, coalesce(max(CASE WHEN level IS NOT NULL THEN concat_ws(' > ', title, h1, CASE WHEN level = 2 THEN t END) END), max(coalesce(title, 'General'))) AS path FROM n GROUP BY 1, 2""")
+def chunk_sections(spark, sf_dir):
+    """Sections with their heading paths."""
+    s = book.sections(_levelled(spark, sf_dir))
+    return s.groupBy("doc", "section").agg(F.count("*").alias("paragraphs"), F.max(F.array_join("path", " > ")).alias("path"))
+
+
+@query(f"""WITH b AS (SELECT *, count(*) OVER (PARTITION BY doc, page) AS n, regexp_matches({_STRIP('text')}, '{book.FOOTNOTE}') AS m FROM (SELECT id, doc, page, text, seq, y FROM ({_LINES}))),
+    f AS (SELECT *, n >= 2 AND y >= 850.0 AND m AS note FROM b),
+    k AS (SELECT id, seq, regexp_extract({_STRIP('text')}, '{book.FOOTNOTE}', 1) AS mark FROM f WHERE note)
+    SELECT k.id, k.seq::INT AS note, k.mark, coalesce(max(t.seq), -1)::INT AS anchor FROM k LEFT JOIN f t ON t.id = k.id AND NOT t.note AND t.seq < k.seq AND contains(t.text, regexp_replace(k.mark, '\\.$', '')) GROUP BY 1, 2, 3""")
+def footnote_links(spark, sf_dir):
+    """Footnotes of every saved page with the line that holds their mark."""
+    b = _lines(spark, sf_dir)
+    n = F.count("*").over(Window.partitionBy("doc", "page"))
+    pages = b.withColumn("many", n >= 2).withColumn("ymin", F.when(F.col("many"), F.col("y")).otherwise(F.lit(0.0))).withColumn("ymax", F.col("ymin"))
+    links = book.footnote_links(pages.select(F.col("id").alias("doc"), F.col("page"), "seq", "text", "ymin", "ymax", "height"))
+    return links.select(F.col("doc").alias("id"), F.col("note").cast("int").alias("note"), "mark", F.coalesce("anchor", F.lit(-1)).cast("int").alias("anchor"))
 
 
 @query("""SELECT job_id AS doc, ((page_number - 1) // 50)::INT AS "window", count(*) AS pages, md5(string_agg(extracted_text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) ORDER BY page_number)) AS digest
@@ -298,8 +325,6 @@ def regression_gate(spark, sf_dir):
     SELECT page_id, para_no AS fact_no, type, CASE type WHEN 'contains' THEN contains(t, a) WHEN 'ordered_before' THEN instr(t, a) > 0 AND instr(t, b) > 0 AND instr(t, a) < instr(t, b)
       ELSE (length(t) - length(replace(t, a, '')))::DOUBLE / nullif(length(a), 0) <= 0 END AS passed FROM j""")
 def fact_checks(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     g = table(spark, sf_dir, "gold").where("page_id is not null and text is not null")
     kind = F.when(F.col("para_no") % 3 == 0, "contains").when(F.col("para_no") % 3 == 1, "ordered_before").otherwise("absent")
     f = g.select("page_id", F.col("para_no").alias("fact_no"), kind.alias("type"), F.col("text").alias("first"), F.lead("text").over(Window.partitionBy("page_id").orderBy("para_no")).alias("second"), F.lit(0).alias("most"))

@@ -138,11 +138,18 @@ def test_contents_and_footnotes(spark):
     assert [r.text for r in book.footnotes(f).where("is_footnote").collect()] == ["[1] Reference"]
 
 
-def test_packing_is_greedy():
-    parts = [("Title", 1, "Title"), ("a b c", 1, None), ("d e f", 2, None), ("g", 3, None), ("Next", 3, "Next"), ("h", 4, None)]
-    got = book.pack(parts, 8)
-    assert [(s, p, q) for s, _, _, p, q in got] == [("Title", 1, 2), ("Title", 3, 3), ("Next", 3, 4)]
-    assert got[0][1] == "### Title\n\na b c\n\nd e f" and book.pack([], 8) == []
+def test_packing_is_greedy(spark):
+    rows = [
+        (1, 1, 1, "Title", 1, "title", "Book"), (1, 2, 1, "a b c", None, "text", "Book"), (1, 3, 2, "d e f", None, "list", "Book"), (1, 4, 3, "g", None, "text", "Book"),
+        (1, 5, 3, "Next", 2, "section_header", "Book"), (1, 6, 4, "h", None, "text", "Book"), (1, 7, 4, " ", None, "text", "Book"), (2, 1, 9, "no heading at all", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc bigint, seq bigint, page int, text string, level int, kind string, title string").repartition(3)
+    got = book.chunks(df, 8).orderBy("doc", "section", "chunk").collect()
+    assert [(r.path, r.kinds, r.page_start, r.page_end, r.chunk) for r in got] == [
+        (["Book", "Title"], ["list", "text", "title"], 1, 2, 1), (["Book", "Title"], ["text"], 3, 3, 2), (["Book", "Title", "Next"], ["section_header", "text"], 3, 4, 1), (["General"], ["text"], 9, 9, 1),
+    ]
+    assert got[0].content == "### Title\n\na b c\n\nd e f" and got[0].tokens == 10 and len({r.chunk_id for r in got}) == 4
+    assert book.chunks(df.limit(0), 8).collect() == []
 
 
 # ---- tables ----
