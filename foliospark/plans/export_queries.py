@@ -124,3 +124,41 @@ def xhtml_sections(spark, sf_dir):
 def loader_documents(spark, sf_dir):
     d = sinks.loader_documents(table(spark, sf_dir, "documents").select("doc_id", "title", "lang", "source", "text"))
     return d.select(F.col("metadata")["doc_id"].cast("bigint").alias("doc_id"), "page_content", F.col("metadata")["title"].alias("title"))
+
+
+@query(f"""SELECT job_id, chapter_number AS chapter, '<h2>' || {_HTML("coalesce(max(chapter_title), '')")} || '</h2>' || coalesce(string_agg('<p>' || {_HTML('text')} || '</p>', '' ORDER BY para_no, para_id) FILTER (WHERE NOT is_heading), '') AS html
+    FROM book_paragraphs WHERE job_id IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2""")
+def chapter_pages(spark, sf_dir):
+    """Every chapter of every book as HTML."""
+    b = table(spark, sf_dir, "book_paragraphs").where("job_id is not null and text is not null")
+    paras = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("para_no", "para_id", "text")))), lambda x: x["text"])
+    g = b.groupBy("job_id", F.col("chapter_number").alias("chapter")).agg(F.coalesce(F.max("chapter_title"), F.lit("")).alias("t"), paras.alias("p"))
+    return g.select("job_id", "chapter", sinks.chapter_html(F.col("t"), F.lit(1), F.col("p")).alias("html"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, title, {_STRIP("coalesce(title, '')")} <> '' AS ok, {_STRIP('title')} AS line FROM documents)
+    SELECT doc_id AS page_id, title AS line, 'model' AS origin, 1.0::DOUBLE AS xmin, 3.0::DOUBLE AS xmax, 4.0::DOUBLE AS ymax FROM t WHERE ok AND doc_id % 3 = 0
+    UNION ALL SELECT doc_id, title, 'detections', 0.0, (doc_id % 100 + 1)::DOUBLE, 9.0 FROM t WHERE ok AND doc_id % 3 = 1
+    UNION ALL SELECT doc_id, line, 'lines', 5.0, 95.0, round(200.0 / 3, 4)::DOUBLE FROM t WHERE ok AND doc_id % 3 = 2""")
+def page_boxes(spark, sf_dir):
+    """Titles as boxes: of every third document from a page model, of the next from detections
+    with four corners, of the rest spread over the page."""
+    d, third = table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    own = [F.col("doc_id").alias("page_id"), F.lit(0).alias("ord"), F.col("title").alias("line")]
+    model = d.where(third == 0).select(*own, *[F.lit(float(v)).alias(k) for k, v in (("xmin", 1), ("ymin", 2), ("xmax", 3), ("ymax", 4))])
+    right = (F.col("doc_id") % 100 + 1).cast("double")
+    quad = F.array(F.lit(0.0), F.lit(0.0), right, F.lit(1.0), right, F.lit(9.0), F.lit(0.0), F.lit(8.0))
+    raw = d.select(F.col("doc_id").alias("page_id"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), F.col("title").alias("text"))
+    b = sinks.best_boxes(model, d.where(third == 1).select(*own, quad.alias("coords")), raw)
+    return b.select("page_id", "line", "origin", "xmin", "xmax", F.round("ymax", 4).alias("ymax"))
+
+
+@query(f"""SELECT doc_id AS page_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 100 200"><rect x="0" y="10" width="' || least(100, doc_id % 150) || '" height="50" fill="none" stroke="#b45309"/><text x="0" y="10">'
+    || {_HTML(f"left(regexp_replace(regexp_replace(title, '{text.NOT_XML}', '', 'g'), '\\s+', ' ', 'g'), 40)")} || '</text></svg>' AS svg FROM documents WHERE title IS NOT NULL""")
+def page_drawings(spark, sf_dir):
+    """One block a page, wider than the page on both sides for some."""
+    d = table(spark, sf_dir, "documents").where("title is not null")
+    return sinks.layout_svg(d.select(
+        F.col("doc_id").alias("page_id"), F.lit(100).alias("width"), F.lit(200).alias("height"), F.lit(0).alias("reading_order"), F.col("title").alias("text"), F.lit("title").alias("kind"),
+        F.lit(-5.0).alias("xmin"), F.lit(10.0).alias("ymin"), (F.col("doc_id") % 150).cast("double").alias("xmax"), F.lit(60.0).alias("ymax"),
+    ))

@@ -115,3 +115,35 @@ def disk_usage(spark: SparkSession, path: str) -> DataFrame:
     """Files and bytes by directory, from file metadata only."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return files.groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def facts(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id, fact_no, type, first, second, most`` of fact files named ``<page>.facts.yaml``:
+    lists of flat mappings, of which only ``type``, ``text``, ``first``, ``second``,
+    ``max_occurrences``, ``row_text`` and ``cell_text`` are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.facts.yaml").load(path)
+    lines = files.select(F.regexp_extract("path", r"([^/]+)\.facts\.yaml$", 1).alias("page_id"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("n", "line"))
+    # a fact begins at a dash; its keys follow on lines of their own
+    pair = r"^\s*(-\s+)?(type|text|first|second|max_occurrences|row_text|cell_text)\s*:\s*(.*?)\s*$"
+    keyed = lines.select("page_id", "n", F.regexp_extract("line", r"^\s*(-)\s", 1).alias("dash"), F.regexp_extract("line", pair, 2).alias("k"), F.regexp_extract("line", pair, 3).alias("v"))
+    plain = F.regexp_replace(F.regexp_replace("v", r"\s+#.*$", ""), r"^(['\"])(.*)\1$", "$2")
+    files_rows = keyed.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("n", "dash", "k", plain.alias("v")))).alias("x"))
+
+    def make():
+        def run(pages, rows):
+            out = []
+            for p, own in zip(pages, rows):
+                found: list[dict] = []
+                for r in own:
+                    if r["dash"]:
+                        found.append({})
+                    if r["k"] and found:
+                        found[-1][r["k"]] = r["v"]
+                for k, f in enumerate([f for f in found if f.get("type")], 1):
+                    most = f.get("max_occurrences")
+                    out.append((p, k, f["type"], f.get("text") or f.get("first") or f.get("cell_text"), f.get("second") or f.get("row_text"), int(most) if most and most.isdigit() else None))
+            return out
+
+        return run
+
+    return map_batches(files_rows, make, "page_id string, fact_no int, type string, first string, second string, most int")

@@ -90,3 +90,55 @@ def manifest(pages: DataFrame) -> DataFrame:
     return parts.groupBy("job_id").agg(
         F.sum("n").alias("pages"), F.sum("native").alias("native_pages"), F.sum("ocr").alias("ocr_pages"), F.round(F.sum("s") / F.nullif(F.sum("c"), F.lit(0)) + F.lit(1e-9), 4).alias("mean_confidence"), ordered("part").alias("digest")
     )
+
+
+def best_boxes(modelled: DataFrame, detected: DataFrame, raw: DataFrame) -> DataFrame:
+    """Text boxes of each page from the best there is: lines of the page model (``page_id, ord,
+    line, xmin, ymin, xmax, ymax``), else detections (``page_id, ord, line, coords`` of four or
+    eight numbers), else raw lines spread over the page (``page_id, width, height, text``)."""
+    box = ["page_id", "ord", "line", "xmin", "ymin", "xmax", "ymax"]
+    c = F.col("coords")
+    odd, even = F.filter(c, lambda _, i: i % 2 == 0), F.filter(c, lambda _, i: i % 2 == 1)
+    flat = detected.where(F.size("coords").isin(4, 8)).select("page_id", "ord", "line", *[f(x).alias(n) for n, f, x in (("xmin", F.array_min, odd), ("ymin", F.array_min, even), ("xmax", F.array_max, odd), ("ymax", F.array_max, even))])
+    spread = text_boxes(raw).select(*box)
+    filled = lambda df: df.where(strip(F.coalesce("line", F.lit(""))) != "").select(*box)
+    a, b = filled(modelled), filled(flat)
+    b = b.join(a.select("page_id").distinct(), "page_id", "left_anti")
+    have = a.select("page_id").unionByName(b.select("page_id")).distinct()
+    tagged = lambda df, name: df.withColumn("origin", F.lit(name))
+    return tagged(a, "model").unionByName(tagged(b, "detections")).unionByName(tagged(spread.join(have, "page_id", "left_anti"), "lines"))
+
+
+#: What a drawing of a page shows at most, and the colours of its parts (fixed values).
+SVG_BOXES = 500
+COLOURS = {"title": "#b45309", "section_header": "#7c3aed", "table": "#047857", "footnote": "#64748b"}
+
+
+def layout_svg(blocks: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """``page_id, svg``: the boxes of each page's blocks in reading order, clamped to the page,
+    with their escaped beginnings; the feature shows the first ``SVG_BOXES`` of a page."""
+    n = lambda c: F.regexp_replace(F.round(c.cast("double"), 2).cast("string"), r"\.0$", "")
+    at = lambda c, most: F.greatest(F.lit(0.0), F.least(c.cast("double"), most.cast("double")))
+    w, h = F.col(width), F.col(height)
+    x, y = at(F.col("xmin"), w), at(F.col("ymin"), h)
+    colour = F.lit("#2563eb")
+    for kind, c in COLOURS.items():
+        colour = F.when(F.col("kind") == kind, c).otherwise(colour)
+    label = escape_html(F.substring(F.regexp_replace(xml_safe(F.col("text")), r"\s+", " "), 1, 40))
+    rect = F.concat(
+        F.lit('<rect x="'), n(x), F.lit('" y="'), n(y), F.lit('" width="'), n(at(F.col("xmax"), w) - x), F.lit('" height="'), n(at(F.col("ymax"), h) - y), F.lit('" fill="none" stroke="'), colour,
+        F.lit('"/><text x="'), n(x), F.lit('" y="'), n(y), F.lit('">'), label, F.lit("</text>"),
+    )
+    per = blocks.select("page_id", w.alias("w"), h.alias("h"), F.struct("reading_order", rect.alias("r")).alias("item")).groupBy("page_id").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.array_sort(F.collect_list("item")).alias("items"))
+    body = F.array_join(F.transform(F.slice("items", 1, SVG_BOXES), lambda i: i["r"]), "")
+    return per.select("page_id", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), n(F.col("w")), F.lit(" "), n(F.col("h")), F.lit('">'), body, F.lit("</svg>")).alias("svg"))
+
+
+def save_scorecard(card: DataFrame, path: str, name: str) -> None:
+    """A scorecard as JSON under its name; saving it again replaces it."""
+    card.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/name={name}")
+
+
+def load_scorecard(spark, path: str, name: str) -> DataFrame:
+    schema = "pages bigint, mean_cer double, mean_wer double, mean_tau double, facts bigint, fact_rate double"
+    return spark.read.schema(schema).json(f"{path.rstrip('/')}/name={name}")

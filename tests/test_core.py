@@ -572,3 +572,79 @@ def test_crop_of_a_quadrilateral():
     assert high.shape == (10, 50)
     turned = images.deskew(page, 10)
     assert images.crop(turned, [(30, 30), (60, 35), (57, 50), (27, 45)]).shape[0] in (14, 15, 16)
+
+
+# ---- stores, drawings, facts ----
+
+
+def test_cache_generations(spark, tmp_path):
+    c = cache.Cache(spark, f"{tmp_path}/c")
+    kv = lambda *rows_: spark.createDataFrame(list(rows_), "key string, value string")
+    assert c.entries().collect() == []
+    c.put(kv(("a", "1"), ("b", "1"), ("b", "0"), (None, "x")))
+    c.put(kv(("a", "2"), ("c", "3")))
+    c.invalidate(kv(("b", None)))
+    seen = lambda df: sorted((r.key, r.value) for r in df.collect())
+    assert seen(c.entries()) == [("a", "2"), ("c", "3")]
+    c.hot(1)
+    c.put(kv(("d", "4")))
+    assert seen(c.get(kv(("a", None), ("b", None), ("d", None), ("d", None)))) == [("a", "2"), ("d", "4")]
+    c.compact()
+    assert seen(c.entries()) == [("a", "2"), ("c", "3"), ("d", "4")] and len(c._generations()) == 1
+    with pytest.raises(ValueError):
+        cache.namespaced(F.lit("h"), "other")
+
+
+def test_object_store(spark, tmp_path):
+    from foliospark.sources import store
+
+    s = store.Store(spark, str(tmp_path))
+    key = store.job_key(7, "out.md")
+    s.put(key, b"one")
+    s.put(key, b"two")
+    assert s.get(key) == b"two" and s.exists(key) and not s.exists("jobs/8/x")
+    for bad in ("../x", "/etc/x", "a//b", "a/./b", "", "a b"):
+        with pytest.raises(ValueError):
+            s.path(bad)
+    with pytest.raises(KeyError):
+        s.get("jobs/9/none")
+    made = s.put_all(spark.createDataFrame([(f"jobs/{k}/p.txt", bytearray(b"x" * k)) for k in range(5)] + [("../up", bytearray(b"y"))], "key string, data binary")).collect()
+    assert sorted(r.bytes for r in made if r.error is None) == [0, 1, 2, 3, 4] and [r.key for r in made if r.error] == ["../up"]
+    assert {r.key: bytes(r.data) for r in s.get_all("jobs").collect()} == {key: b"two", **{f"jobs/{k}/p.txt": b"x" * k for k in range(1, 5)}}
+    assert s.get("jobs/0/p.txt") == b""
+    assert s.delete(key) and not s.delete(key)
+
+
+def test_boxes_by_priority_and_drawings(spark):
+    m = spark.createDataFrame([(1, 0, "model", 1.0, 2.0, 3.0, 4.0)], "page_id bigint, ord int, line string, xmin double, ymin double, xmax double, ymax double")
+    d = spark.createDataFrame([(1, 0, "x", [0.0, 0.0, 1.0, 1.0]), (2, 0, "quad", [5.0, 1.0, 9.0, 2.0, 8.0, 7.0, 4.0, 6.0]), (3, 0, "bad", [1.0]), (3, 1, " ", [0.0, 0.0, 1.0, 1.0])], "page_id bigint, ord int, line string, coords array<double>")
+    r = spark.createDataFrame([(k, 100.0, 100.0, "one\n\ntwo") for k in (1, 2, 3)], "page_id bigint, width double, height double, text string")
+    got = sorted((x.page_id, x.origin, x.line, x.xmin, x.ymax) for x in sinks.best_boxes(m, d, r).collect())
+    assert got == [(1, "model", "model", 1.0, 4.0), (2, "detections", "quad", 4.0, 7.0), (3, "lines", "one", 5.0, 50.0), (3, "lines", "two", 5.0, 75.0)]
+    b = spark.createDataFrame([(1, 100, 50, 0, "a <b>", "title", -5.0, 10.0, 120.0, 60.0)], "page_id bigint, width int, height int, reading_order int, text string, kind string, xmin double, ymin double, xmax double, ymax double")
+    svg = sinks.layout_svg(b).collect()[0].svg
+    assert 'viewBox="0 0 100 50"' in svg and 'x="0" y="10" width="100" height="40"' in svg and "a &lt;b&gt;" in svg and "#b45309" in svg
+
+
+def test_scorecards_are_saved_and_loaded(spark, tmp_path):
+    pairs = spark.createDataFrame([("p", "a b c", "a b c", 1.0)], "page_id string, gold string, got string, confidence double")
+    card = evaluation.scorecard(evaluation.page_scores(pairs))
+    for _ in range(2):
+        sinks.save_scorecard(card, str(tmp_path), "base")
+    again = sinks.load_scorecard(spark, str(tmp_path), "base")
+    assert again.select(*card.columns).collect() == card.collect() and evaluation.gate(again, card).collect()[0].passed
+
+
+def test_fact_files(spark, tmp_path):
+    (tmp_path / "p1.facts.yaml").write_text("# facts\n- type: contains\n  text: \"Total: 7\"\n- type: ordered_before\n  first: one\n  second: 'two'  # note\n- type: absent\n  text: x\n  max_occurrences: 2\n- other: y\n")
+    got = [tuple(r) for r in readers.facts(spark, str(tmp_path)).orderBy("fact_no").collect()]
+    assert got == [("p1", 1, "contains", "Total: 7", None, None), ("p1", 2, "ordered_before", "one", "two", None), ("p1", 3, "absent", "x", None, 2)]
+
+
+def test_chapters_and_layout_json(spark):
+    html = one(spark, sinks.chapter_html(F.lit("A & B"), F.lit(9), F.array(F.lit("x<y"), F.lit("z"))), x=1)
+    assert html == "<h6>A &amp; B</h6><p>x&lt;y</p><p>z</p>"
+    b = spark.createDataFrame([(1, 1, "two", 0.0, 0.0, 1.0, 1.0, 0.5), (1, 0, "one", 0.0, 0.0, 1.0, 1.0, 0.5)], "page_id bigint, reading_order int, text string, xmin double, ymin double, xmax double, ymax double, confidence double")
+    import json
+
+    assert [x["text"] for x in json.loads(sinks.layout_json(b).collect()[0].json)] == ["one", "two"]
