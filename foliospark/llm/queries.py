@@ -131,7 +131,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the labels name subjects; only those of the table of subjects count
     labels, known = table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects").select("subject")
-    labels = labels.join(F.broadcast(known), "subject", "left_semi").unionByName(labels.where("subject = 'none'"))
+    labels = labels.join(known, "subject", "left_semi").unionByName(labels.where("subject = 'none'"))
     return subjects.assign(table(spark, sf_dir, "documents"), labels)
 
 
