@@ -110,6 +110,26 @@ def reflow(c: Column) -> Column:
     return F.array_join(lines, "\n\n")
 
 
+#: Kinds of blocks whose lines are joined (fixed values).
+FLOWING = ("text", "column", "index_item")
+
+
+def reflow_block(kind: Column, lines: Column) -> Column:
+    """A block's ``lines`` (``text, confidence``) as one span ``text, confidence``: lines of flowing
+    kinds are joined into paragraphs, others stay lines; the confidence is the first line's."""
+    own = F.array_join(F.transform(lines, lambda x: F.coalesce(x["text"], F.lit(""))), "\n")
+    first = F.get(F.filter(lines, lambda x: strip(F.coalesce(x["text"], F.lit(""))) != ""), F.lit(0))
+    return F.struct(F.when(kind.isin(*FLOWING), reflow(own)).otherwise(own).alias("text"), first["confidence"].alias("confidence"))
+
+
+def paragraphs(c: Column) -> Column:
+    """The paragraphs of a text as ``text, level``: blank lines part them, a first line of one or
+    two signs makes a heading of that level without its signs, else the level is null."""
+    parts = F.filter(F.transform(F.split(c, "\n[ \t]*\n", -1), strip), lambda p: p != "")
+    level = lambda p: F.when(p.startswith("## "), F.lit(2)).when(p.startswith("# "), F.lit(1))
+    return F.transform(parts, lambda p: F.struct(strip(F.regexp_replace(p, "^#{1,2} ", "")).alias("text"), level(p).alias("level")))
+
+
 def without_images(c: Column) -> Column:
     return strip(F.regexp_replace(c, IMAGE_EMBED, ""))
 

@@ -215,6 +215,13 @@ def retained(results: DataFrame, jobs: DataFrame, cutoff: Column) -> DataFrame:
     return results.join(old, "job_id", "left_anti")
 
 
+def search(jobs: DataFrame, needle: str) -> DataFrame:
+    """Jobs whose file name, status or time of creation holds the needle, without case."""
+    n = F.lit(needle.lower())
+    hit = lambda c: F.coalesce(F.contains(F.lower(c), n), F.lit(False))
+    return jobs.where(hit(F.col("filename")) | hit(F.col("status")) | hit(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")))
+
+
 def first_wins(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Union without repetition: of rows with equal keys one of ``first``."""
     both = first.withColumn("_o", F.lit(0)).unionByName(second.withColumn("_o", F.lit(1)))

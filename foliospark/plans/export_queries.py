@@ -162,3 +162,21 @@ def page_drawings(spark, sf_dir):
         F.col("doc_id").alias("page_id"), F.lit(100).alias("width"), F.lit(200).alias("height"), F.lit(0).alias("reading_order"), F.col("title").alias("text"), F.lit("title").alias("kind"),
         F.lit(-5.0).alias("xmin"), F.lit(10.0).alias("ymin"), (F.col("doc_id") % 150).cast("double").alias("xmax"), F.lit(60.0).alias("ymax"),
     ))
+
+
+@query(f"""SELECT doc_id, k - 1 AS place, CASE WHEN starts_with(p, '## ') THEN 2 WHEN starts_with(p, '# ') THEN 1 ELSE 0 END AS level, md5({_STRIP("regexp_replace(p, '^#{1,2} ', '')")}) AS digest FROM (
+    SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda x: {_STRIP('x')}), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL))""")
+def book_paragraph_rows(spark, sf_dir):
+    """Paragraphs and headings of every document in order."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("place", "p"))
+    return d.select("doc_id", F.col("place").cast("bigint").alias("place"), F.coalesce("p.level", F.lit(0)).alias("level"), F.md5("p.text").alias("digest"))
+
+
+@query(f"""SELECT id, CASE WHEN id % 2 = 0 THEN array_to_string(list_filter(list_transform(string_split_regex(extracted_text, '\n[ \t]*\n'), lambda x: {_STRIP(f"regexp_replace({_ONCE(_ONCE('x'))}, '[{_S}]*\n[{_S}]*', ' ', 'g')")}), lambda x: x <> ''), chr(10) || chr(10)) ELSE extracted_text END AS text,
+    confidence_score AS confidence FROM ocr_results WHERE {_STRIP('extracted_text')} <> ''""")
+def reflowed_blocks(spark, sf_dir):
+    """Every other page as a block of text, the rest as tables, whose lines stay."""
+    r = table(spark, sf_dir, "ocr_results").where(chars.strip(F.col("extracted_text")) != "")
+    lines = F.transform(F.split("extracted_text", "\n", -1), lambda x: F.struct(x.alias("text"), F.col("confidence_score").alias("confidence")))
+    kind = F.when(F.col("id") % 2 == 0, "text").otherwise("table")
+    return r.select("id", text.reflow_block(kind, lines).alias("b")).select("id", "b.text", "b.confidence")

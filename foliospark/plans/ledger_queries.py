@@ -132,12 +132,22 @@ def audit_union(spark, sf_dir):
     return ledger.first_wins(a, b, ["seen", "file", "status"])
 
 
-@query("SELECT id, filename, regexp_replace(regexp_replace(lower(trim(status)), '[\\s-]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS status FROM ocr_jobs WHERE contains(lower(filename), '.pdf') AND status IS NOT NULL")
+@query("SELECT id, needle FROM ocr_jobs, (SELECT unnest(['.PDF', 'Fail', '2025-03-0']) AS needle) WHERE coalesce(contains(lower(filename), lower(needle)), false) OR coalesce(contains(lower(status), lower(needle)), false) OR coalesce(contains(strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), lower(needle)), false)")
 def audit_search(spark, sf_dir):
-    from foliospark.functions.text import status_key
+    """Three searches: by file name, by status, by time."""
+    jobs, out = table(spark, sf_dir, "ocr_jobs"), None
+    for needle in (".PDF", "Fail", "2025-03-0"):
+        found = ledger.search(jobs, needle).select("id", F.lit(needle).alias("needle"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
-    j = table(spark, sf_dir, "ocr_jobs").where(F.contains(F.lower("filename"), F.lit(".pdf")) & F.col("status").isNotNull())
-    return j.select("id", "filename", status_key(F.col("status")).alias("status"))
+
+@query("SELECT doc_id, sha256(text) AS digest, sha256(sha256(text) || ':text:v2') AS key FROM documents WHERE text IS NOT NULL")
+def content_hashes(spark, sf_dir):
+    from foliospark.operators.cache import content_hash, namespaced
+
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("digest", content_hash(F.encode("text", "UTF-8")))
+    return d.select("doc_id", "digest", namespaced(F.col("digest"), "text", "v2").alias("key"))
 
 
 @query("SELECT epoch(time_bucket(INTERVAL '1 hour', created_at))::BIGINT AS start, count(*) AS rows FROM ocr_results WHERE created_at IS NOT NULL GROUP BY 1")
