@@ -471,7 +471,11 @@ def with_job(heads: DataFrame, lines: DataFrame, jobs: DataFrame) -> DataFrame:
     """Adds the title of the job, and on how many of its pages a line stands."""
     name = F.regexp_replace(F.regexp_replace(F.lower("filename"), r"^.*/|\.[a-z]+$", ""), r"[^\p{L}]+", " ")
     title = require(jobs, "id", "filename").where("id is not null").groupBy(F.col("id").alias("job_id")).agg(F.first(F.trim(name), True).alias("title"))
-    return heads.join(_small(lines), ["job_id", "plain"], "left").join(_small(title), "job_id", "left").select(
+    # lines without a form of their own aren't joined: they would all share one key a job
+    plain, rest = heads.where("plain <> ''"), heads.where("plain = ''")
+    counted = plain.join(_small(lines), ["job_id", "plain"], "left").select(*heads.columns, "repeats", "chapter")
+    counted = counted.unionByName(rest.select(*heads.columns, F.lit(1).alias("repeats"), F.lit(0.0).alias("chapter")))
+    return counted.join(_small(title), "job_id", "left").select(
         "table_name", "job_id", "page", "place", "line", "plain", "beside", F.coalesce("repeats", F.lit(1)).alias("repeats"), "title", F.coalesce("chapter", F.lit(0.0)).alias("chapter")
     )
 
