@@ -40,6 +40,8 @@ GRID = (0.16, 0.17, 0.18, 0.19, 0.2, 0.21, 0.22)
 #: Share of all documents from which on a term weighs less.
 COMMON_TERM = 0.05
 
+#: The s at the end of a word of five letters or more.
+_PLURAL = re.compile(r"(?<=[a-z0-9]{4})s(?![a-z0-9])")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”’»)]*\s+|\n\s*\n")
 
 
@@ -47,10 +49,10 @@ def sentences(text: str) -> list[list[str]]:
     """Folded words of each sentence of at least three words; a plural s is dropped."""
     out = []
     # folded as a whole: the mark between sentences passes unchanged
-    for s in fold("\0".join(_SENTENCE.split(text))).split("\0"):
+    for s in _PLURAL.sub("", fold("\0".join(_SENTENCE.split(text)))).split("\0"):
         words = _WORD.findall(s)
         if len(words) >= 3:
-            out.append([w[:-1] if w[-1] == "s" and len(w) > 4 else w for w in words])
+            out.append(words)
     return out
 
 
@@ -170,7 +172,9 @@ def assign(docs: DataFrame, labels: DataFrame, none: str = "none") -> DataFrame:
     bounded = require(labels, "doc_id", "subject").join(
         F.broadcast(require(labels, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)), "doc_id", "left_semi"
     )
-    limits = calibrate(bounded, scored, sorted({s for x in learned.values() for s in x}))
+    # only the labelled documents are scored for the thresholds
+    marked = F.broadcast(bounded.select("doc_id").distinct())
+    limits = calibrate(bounded, shares(hits.join(marked, "doc_id", "left_semi"), weights), sorted({s for x in learned.values() for s in x}))
     limit = F.lit(SHARE)
     for s, g in limits.items():
         limit = F.when(F.col("subject") == s, F.lit(g)).otherwise(limit)
