@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
+from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,6 +113,35 @@ class Perceptron:
         self._stamp.clear()
 
 
+class YesNo:
+    """Averaged perceptron of two labels: one weight a feature, its sign decides; no on a tie."""
+
+    def __init__(self):
+        self.weights: dict[str, float] = {}
+        self._sums: dict[str, float] = defaultdict(float)
+        self._stamp: dict[str, int] = {}
+        self.steps = 0
+
+    def says(self, features: list[str]) -> bool:
+        return sum(map(self.weights.get, features, repeat(0.0))) > 0
+
+    def learn(self, features: list[str], right: bool) -> None:
+        self.steps += 1
+        if self.says(features) != right:
+            by = 1.0 if right else -1.0
+            for f in features:
+                w = self.weights.get(f, 0.0)
+                self._sums[f] += (self.steps - self._stamp.get(f, 0)) * w
+                self._stamp[f] = self.steps
+                self.weights[f] = w + by
+
+    def average(self) -> None:
+        for f, w in self.weights.items():
+            self.weights[f] = (self._sums[f] + (self.steps - self._stamp.get(f, 0)) * w) / max(1, self.steps)
+        self._sums.clear()
+        self._stamp.clear()
+
+
 KEEP, DROP = "=", "-"
 
 
@@ -161,7 +191,7 @@ class Editor:
     """The character editor with the words known to be right."""
 
     def __init__(self, known: set[str]):
-        self.known, self.chars, self.joins, self.lines = known, Perceptron(), Perceptron(), Perceptron()
+        self.known, self.chars, self.joins = known, Perceptron(), Perceptron()
         self.options: dict[str, list[str]] = {}
         self.pairs: set[tuple[str, str]] = set()  # two characters that stood for one or two
         self._memory: dict[str, str] = {}
@@ -484,9 +514,9 @@ def _facts_of(place, line, plain, beside, repeats, title, chapter, seen: dict |
     return line_facts(line, place, beside, repeats, _alike(plain, title or ""), chapter, seen)
 
 
-def is_furniture(model: Perceptron, facts: tuple) -> bool:
+def is_furniture(model: YesNo, facts: tuple) -> bool:
     """Whether a first or last line with these facts is page furniture."""
-    return model.best(line_features(facts), ["text", "furniture"])[0] == "furniture"
+    return model.says(line_features(facts))
 
 
 def align(noisy: str, right: str) -> tuple[Counter, list[tuple[str, str, str, bool]]]:
@@ -573,10 +603,10 @@ def line_label(line: str, place: str, inner: bool, titled: bool, right: str) ->
     return None if mark_cost(line) or ((inner or place == "last") and not titled) else "furniture"
 
 
-def fit_lines(heads: DataFrame, lines: DataFrame, jobs: DataFrame, rights: dict[str, str]) -> Perceptron:
+def fit_lines(heads: DataFrame, lines: DataFrame, jobs: DataFrame, rights: dict[str, str]) -> YesNo:
     """The model of page furniture, from the lines of the pages in ``rights`` and from as many
     lines of lists, tables, marked headings and signs, lowest hash first."""
-    spark, model = heads.sparkSession, Perceptron()
+    spark, model = heads.sparkSession, YesNo()
     wanted = spark.createDataFrame([(k,) for k in sorted(rights)], "page_id string")
     page_id = F.concat_ws("/", F.col("job_id").cast("string"), F.col("page").cast("string"))
     known = heads.join(F.broadcast(wanted), page_id == wanted["page_id"], "left_semi")
@@ -587,14 +617,14 @@ def fit_lines(heads: DataFrame, lines: DataFrame, jobs: DataFrame, rights: dict[
     for r in with_job(known, lines, jobs).orderBy("job_id", "page", "table_name", "place", "line").collect():
         titled = bool(r.chapter) or _alike(r.plain, r.title or "") >= 0.8 or " · " in r.line
         if label := line_label(r.line, r.place, r.beside.split(",")[1] == "True", titled, rights[f"{r.job_id}/{r.page}"]):
-            data.append((line_features(_facts_of(*r[3:])), label))
+            data.append((line_features(_facts_of(*r[3:])), label == "furniture"))
     for r in with_job(other, lines, jobs).orderBy("job_id", "page", "table_name", "place", "line").collect():
         # a line that returns is left out, unless it is a row itself
         if r.repeats == 1 or CELLS.search(r.line) or MARKED.match(r.line.strip()):
-            data.append((line_features(_facts_of(*r[3:])), "text"))
+            data.append((line_features(_facts_of(*r[3:])), False))
     for _ in range(LINE_EPOCHS):
         for f, label in data:
-            model.learn(f, ["text", "furniture"], label)
+            model.learn(f, label)
     model.average()
     return model
 
@@ -653,7 +683,7 @@ def _mark(line: str) -> int:
     return zlib.crc32(line.encode("utf-8", "surrogatepass"))
 
 
-def furniture(heads: DataFrame, model: Perceptron) -> DataFrame:
+def furniture(heads: DataFrame, model: YesNo) -> DataFrame:
     """Running heads and page numbers among first and last lines with their job's titles:
     ``table_name, job_id, page, kind, mark``; ``mark`` stands for the line."""
     shared = heads.sparkSession.sparkContext.broadcast(model)
