@@ -114,8 +114,8 @@ def percentiles(df: DataFrame, by: list[str], value: Column, qs: tuple[float, ..
     sketches bracket each rank, then only the distinct values between the brackets, a share of
     about ``4 / SKETCH_ACCURACY`` of the rows, are put in order: a group of any size is
     aggregated partially twice and never gathered. A null group is a group."""
-    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
-    names = [f"_k{i}" for i in range(len(by))]
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)] or [F.lit(0).alias("_k0")]  # without groups all rows are one
+    names = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null")
     slack = 2.0 / SKETCH_ACCURACY
     ends = [x for q in qs for x in (max(0.0, q - slack), min(1.0, q + slack))]
@@ -132,8 +132,7 @@ def percentiles(df: DataFrame, by: list[str], value: Column, qs: tuple[float, ..
     same = [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in names]
     right = brackets.select(*[F.col(x).alias(f"{x}_") for x in names], "n", "w")
     # one row a group on the small side
-    near = rows.join(right, same) if names else rows.crossJoin(right)
-    near = near.select(*names, "n", "_v", F.explode("w").alias("w"))
+    near = rows.join(right, same).select(*names, "n", "_v", F.explode("w").alias("w"))
     inside = (F.col("_v") >= F.col("w.a")) & (F.col("_v") <= F.col("w.b"))
     counted = near.groupBy(*names, "n", F.col("w.k").alias("k"), F.col("w.at").alias("at"), F.when(inside, F.col("_v")).alias("v")).agg(F.count_if(F.col("_v") < F.col("w.a")).alias("below"), F.count("*").alias("c"))
     per = counted.groupBy(*names, "n", "k", "at").agg(F.sum("below").alias("below"), F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "c")))).alias("vs"))

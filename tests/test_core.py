@@ -379,6 +379,8 @@ def test_percentiles_of_large_groups_are_exact(spark, monkeypatch):
     assert set(got) == set(by)
     assert all(r.n == len(by[g]) and np.allclose(r.p, np.quantile(by[g], (0.0, 0.01, 0.5, 0.95, 1.0))) for g, r in got.items())
     assert ledger.percentiles(df.limit(0), ["g"], F.col("u"), (0.5,)).collect() == []
+    whole = ledger.percentiles(df, [], F.col("u"), (0.5,)).collect()
+    assert len(whole) == 1 and whole[0].p[0] == pytest.approx(np.median([u for v in by.values() for u in v]))
 
 
 # ---- queue ----
