@@ -225,13 +225,15 @@ def within(df: DataFrame, keys: list[str], value: str, epsilon: float, qs: tuple
     """Percentiles from summaries of ``epsilon`` held against the values themselves: per group
     ``n``, for each percentile whether its true rank lies within the reported error, and
     whether that error is within what ``epsilon`` permits."""
+    if not keys:
+        raise ValueError("no keys to hold percentiles against values by")
     got = percentiles(summaries(df, keys, value, epsilon), keys, qs)
     names = got.columns[len(keys) + 2 :]
     v = F.col(f"`{value}`").cast("double")
     rows = require(df, *dict.fromkeys([*keys, value])).where(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf"))).select(*keys, v.alias("_value"))
     right = got.toDF(*[f"_k{i}" for i in range(len(keys))], *got.columns[len(keys) :])
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    both = rows.join(right, same) if keys else rows.join(right)
+    both = rows.join(right, same)  # one row a group on the right
     counts = [F.count_if(F.col("_value") < F.col(x)).alias(f"_lo_{x}") for x in names] + [F.count_if(F.col("_value") <= F.col(x)).alias(f"_hi_{x}") for x in names]
     ranks = both.groupBy(*keys, "n", "rank_error").agg(*counts)
     rank = lambda q: F.least(F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)), F.col("n"))
