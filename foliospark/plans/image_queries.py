@@ -23,6 +23,13 @@ def _pages(spark, sf_dir, draw):
     )
 
 
+def _parts(spark, sf_dir):
+    """``page_id`` of every part, to draw pages from. The numbers, a few bytes a page, are dealt to
+    all cores: a file of parts may be one partition, and pages take long."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id")).repartition(tasks)
+
+
 def _ruled(i: int) -> np.ndarray:
     rows, cols = 2 + i % 3, 2 + i % 4
     p = np.full((40 + rows * 40, 40 + cols * 50), 255, dtype=np.uint8)
@@ -66,12 +73,14 @@ def image_crops(spark, sf_dir):
         return p
 
     def found(page):
-        boxes = images.text_boxes((page == 0).astype(np.float64), *page.shape)
-        y, x = np.nonzero(page == 0)
-        cut = images.crop(page, np.array([(x.min(), y.min()), (x.max() + 1, y.min()), (x.max() + 1, y.max() + 1), (x.min(), y.max() + 1)]))
+        ink = page == 0
+        boxes = images.text_boxes(ink.astype(np.float64), *page.shape)
+        y, x = np.flatnonzero(ink.any(axis=1)), np.flatnonzero(ink.any(axis=0))
+        t, le, b, r = y[0], x[0], y[-1] + 1, x[-1] + 1
+        cut = images.crop(page, np.array([(le, t), (r, t), (r, b), (le, b)]))
         return len(boxes), *cut.shape
 
-    return images.over_pages(_pages(spark, sf_dir, block), found, "boxes int, height int, width int").drop("error")
+    return images.over_pages(_parts(spark, sf_dir), found, "boxes int, height int, width int", draw=block).drop("error")
 
 
 @query("SELECT p_partkey AS page_id, 0.0::DOUBLE AS skew, CASE WHEN p_partkey % 2 = 0 THEN (6 + p_partkey % 7)::DOUBLE END AS glyph_height FROM part")
