@@ -43,7 +43,7 @@ def _ruled(i: int) -> np.ndarray:
 @query("""SELECT p_partkey AS page_id, ((2 + p_partkey % 3) * (2 + p_partkey % 4))::INT AS cells, 22.0::DOUBLE AS left_edge, (20 + 50 * (2 + p_partkey % 4))::DOUBLE AS right_edge, (20 + 40 * (2 + p_partkey % 3))::DOUBLE AS lower_edge FROM part""")
 def image_cells(spark, sf_dir):
     """Cells of ruled tables."""
-    c = images.cells(_pages(spark, sf_dir, _ruled))
+    c = images.cells(_parts(spark, sf_dir), _ruled)
     edge = lambda f, k: f(F.transform("cells", lambda x: x[k]))
     return c.select("page_id", F.size("cells").alias("cells"), edge(F.array_min, "xmin").alias("left_edge"), edge(F.array_max, "xmax").alias("right_edge"), edge(F.array_max, "ymax").alias("lower_edge"))
 

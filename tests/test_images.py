@@ -69,3 +69,24 @@ def test_components_joined_late():
     comb[-1, 1::2] = False
     assert len(images.components(comb)[1]) == pytest.approx(41)
     assert images.components(np.zeros((3, 0), dtype=bool))[1].shape == (0, 5)
+
+
+def test_cells_are_dealt_to_all_cores(spark, tmp_path):
+    assert _dealt(spark, tmp_path, "image_cells") >= 4
+
+
+def test_cells_among_short_runs():
+    # a table among marks: half a million runs, none of them a rule
+    page = np.full((2000, 2000), 255, dtype=np.uint8)
+    page[:, ::4] = 0
+    page[::2] = 255
+    page[500:1502] = page[:, 500:1502] = 255
+    for k in range(3):
+        page[500 + 500 * k : 502 + 500 * k, 500:1502] = page[500:1502, 500 + 500 * k : 502 + 500 * k] = 0
+    assert images.table_cells(page) == [(502, 502, 1000, 1000), (1002, 502, 1500, 1000), (502, 1002, 1000, 1500), (1002, 1002, 1500, 1500)]
+
+
+def test_thresholds_of_few_values():
+    assert images.threshold(np.array([[9, 200], [200, 200]], dtype=np.uint8)) == 9
+    assert images.threshold(np.full((3, 3), 77, dtype=np.uint8)) == images.PAPER == images.threshold(np.zeros((0, 3), dtype=np.uint8))
+    assert images.threshold(np.array([[0, 10, 250, 255]], dtype=np.uint8)) == 10
