@@ -94,4 +94,4 @@ def image_signals(spark, sf_dir):
                 p[y : y + size, x : x + 7] = 0
         return p
 
-    return images.signals(_pages(spark, sf_dir, marks)).select("page_id", "skew", "glyph_height")
+    return images.signals(_parts(spark, sf_dir), marks).select("page_id", "skew", "glyph_height")

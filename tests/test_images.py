@@ -90,3 +90,43 @@ def test_thresholds_of_few_values():
     assert images.threshold(np.array([[9, 200], [200, 200]], dtype=np.uint8)) == 9
     assert images.threshold(np.full((3, 3), 77, dtype=np.uint8)) == images.PAPER == images.threshold(np.zeros((0, 3), dtype=np.uint8))
     assert images.threshold(np.array([[0, 10, 250, 255]], dtype=np.uint8)) == 10
+
+
+def test_signals_are_dealt_to_all_cores(spark, tmp_path):
+    assert _dealt(spark, tmp_path, "image_signals") >= 4
+
+
+def test_skew_is_that_of_exact_variances():
+    # equal variances fall to the smaller angle, whatever floats say of them
+    from fractions import Fraction
+
+    def shear(ink, tenths):
+        y, x = np.nonzero(ink)
+        at = np.round(y + (x - ink.shape[1] / 2) * np.tan(np.radians(tenths / 10))).astype(int)
+        c = np.bincount(at - at.min())
+        return Fraction(int(len(c) * (c * c).sum() - c.sum() ** 2), len(c) ** 2), -abs(tenths)
+
+    rng, pages = np.random.default_rng(5), []
+    for k in range(60):
+        h, w = rng.integers(2, 140, 2)
+        y, x = np.mgrid[:h, :w]
+        ink = rng.random((h, w)) < rng.random() if k % 3 else (y + np.rint(x * np.tan(k / 400))).astype(int) % 9 < 4
+        if 1 < ink.sum() < ink.size:
+            pages.append(ink)
+    for ink in pages:
+        near = max(range(-60, 61, 10), key=lambda a: shear(ink, a))  # noqa: B023
+        assert images.skew(np.where(ink, 20, 230).astype(np.uint8)) == max(range(near - 10, near + 11), key=lambda a: shear(ink, a)) / 10  # noqa: B023
+    tie = np.full((20, 4), 255, dtype=np.uint8)
+    tie[5:9] = 0  # four columns don't part below 7 degrees
+    assert images.skew(tie) == 0.0
+
+
+def test_signals_of_a_large_page():
+    page = np.full((1500, 1100), 255, dtype=np.uint8)
+    for y in range(60, 1440, 24):
+        for x in range(60, 1040, 14):
+            page[y : y + 10, x : x + 8] = 0
+    turned = images.deskew(page, -2.5)
+    for p in (page, turned):
+        assert images.page_signals(p) == (images.noise_sigma(p), images.skew(p), images.glyph_height(p))
+    assert images.page_signals(page)[1:] == (0.0, 10.0) and abs(images.skew(turned) - 2.5) <= 0.1
