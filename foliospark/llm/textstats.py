@@ -36,10 +36,8 @@ COMMON = {
 CELLS = re.compile(
     r"\S {3,}\S|\S {2,}\S+(?: \S+)* {2,}\S|\|[^|]*\||^\s*(?:│ |[├┌└]─)|\S\t+\S|^[^;]*;[^ ;][^;]*;[^ ;]|^[^,]+,[^ ,][^,]*,[^ ,]"
 )
-MARKED = re.compile(
-    r"\s*(?:[-*•▪·–◦‣o\uf0b7]|\(?[0-9]{1,3}[.)]|\(?[ivxlc]{1,6}[.)]|\(?[a-zA-Z][.)]|\[[ x]?\])\s+\S"
-    r"|.*\S ?(?:\. ?){4,}\s*[0-9ivxlc]+\s*$|[^0-9]{2,60}(?:, [0-9]{1,4})+\s*$"
-)
+MARKER = re.compile(r"\s*(?:[-*•▪·–◦‣o\uf0b7]|\(?[0-9]{1,3}[.)]|\(?[ivxlc]{1,6}[.)]|\(?[a-zA-Z][.)]|\[[ x]?\])\s+\S")
+MARKED = re.compile(MARKER.pattern + r"|.*\S ?(?:\. ?){4,}\s*[0-9ivxlc]+\s*$|[^0-9]{2,60}(?:, [0-9]{1,4})+\s*$")
 SPACED = re.compile(r"\s*\S+(?:  \S+)+\s*$")
 READABLE = re.compile(
     r"(?:[^\W\d_]?(?=[^\W\d_]*[aeiouyà-ÿ])[^\W\d_A-ZÀ-Þ]+|(?=[^\W\d_]*[AEIOUYÀ-Ü])[^\W\d_a-zà-ÿ]+|[0-9]+(?:[.,][0-9]+)?)$"

@@ -168,6 +168,56 @@ def test_editor_mends_held_out_words():
     assert all(ed.word(w) == w for w in words)
 
 
+def test_editor_asks_its_model_once_for_each_context(monkeypatch):
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in ("har", "mi", "ste", "lo", "wan") for b in ("m", "d", "k", "ne") for c in ("er", "ing", "our", "ade")]
+    spoil = lambda w: w.replace("m", "rn", 1) if "m" in w else w.replace("e", "c", 1)
+    ed = scannoise.Editor(set(words))
+    ed.train_words(Counter({(spoil(w), w): 1 for w in words[:50]} | {(w, w): 1 for w in words[:50]}))
+    unknown = sorted({"".join(rng.choices("abcdehimnorstw", k=rng.randint(1, 12))) for _ in range(2000)} | set(map(spoil, words)))
+
+    def plainly(w):
+        out, before, margin = [], "=", 0.0
+        for i, c in enumerate(w):
+            opts = ed.options.get(c, [])
+            o, ahead = ed.chars.best(scannoise._char_features(w, i, before), opts) if len(opts) > 1 else ("=", 0.0)
+            out.append(c if o == "=" else "" if o == "-" else o)
+            margin, before = margin + ahead, o
+        return "".join(out), margin
+
+    def one_operation(base):
+        for i in range(len(base)):
+            for o in ed.options.get(base[i], ())[1:]:
+                if o != "-" and (base[:i] + o + base[i + 1 :] in ed.known or base[:i] + o + base[i + 2 :] in ed.known):
+                    yield i
+
+    wanted, asked, best = list(map(plainly, unknown)), [], ed.chars.best
+    monkeypatch.setattr(ed.chars, "best", lambda *a: asked.append(a) or best(*a))
+    assert list(map(ed._pass, unknown)) == wanted
+    assert 0 < len(asked) < 0.2 * sum(len(ed.options.get(c, ())) > 1 for w in unknown for c in w)
+    assert any(set(one_operation(w)) for w in unknown)
+    assert all(set(one_operation(w)) <= set(ed._open(w)) for w in unknown)
+
+
+def test_short_ways_of_scan_noise_give_what_the_patterns_give():
+    rng = random.Random(7)
+    make = lambda signs, n: "".join(rng.choices(signs, k=rng.randint(0, n)))
+    for _ in range(4000):
+        text = make(["a", "é", "b2", "²", "_", "-", "\xad", "‐", "¬", "\n", "-\n", " ", "\t", "-  \n"], 30)
+        found = scannoise._breaks(text)
+        assert [(m.start(), m.end(), *m.groups()) for m in scannoise.BREAK.finditer(text)] == found
+        assert scannoise.BREAK.sub(r"\1\3", text) == scannoise._joined(text, found)
+        line = make(["a", "Bo", "xi", "12", "4", " ", "  ", "\t", "\xa0", "|", ";", ",", ", 7", ".", ". . . .", "│ ", "├─", "(", ")", "[", "]", "—", "-", "page "], 12)
+        assert scannoise._without_number(line) == scannoise.NUMBER_AFTER.sub("", scannoise.NUMBER_BEFORE.sub("", line))
+        assert scannoise._cells(line) == bool(scannoise.CELLS.search(line))
+        assert scannoise._marked(line.strip()) == bool(scannoise.MARKED.match(line.strip()))
+        title, plain = make("abc ", 14), make("abc ", 14)
+        ratio = scannoise.SequenceMatcher(None, title, plain, False).ratio()
+        whole = bool(title and plain) and (title == plain or (len(title) > 8 and title in plain))
+        near = bool(title and plain) and abs(len(title) - len(plain)) <= 0.3 * len(title) and ratio >= 0.85
+        assert scannoise._alike(plain, title) == (1.0 if whole else ratio if near else 0.0)
+
+
 def test_noise_of_pages(spark):
     clean = [f"The {a} {b} left the {c} before the evening and nobody noticed the {b} again" for a in ("old", "quiet", "late") for b in ("captain", "neighbour", "stranger") for c in ("harbour", "kitchen", "meeting")]
     spoil = lambda t: t.replace("e", "c", 4)
